@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tokenizer_path
+from .pieces import encode_documents
 from .secrets import scan_secrets
 
 
@@ -14,8 +15,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan}
+    return {
+        "op1_secret_scan": op1_secret_scan,
+        "op4_sentencepiece": op4_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
