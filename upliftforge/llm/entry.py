@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import new_folder, table, tokenizer_path
 from .pieces import encode_documents
 from .secrets import scan_secrets
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 
@@ -16,6 +17,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = new_folder(spark, "token-counts")
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), cache)
@@ -28,6 +33,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_simhash": op2_simhash,
         "op3_token_counts": op3_token_counts,
         "op4_sentencepiece": op4_sentencepiece,
     }
