@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import pii, quality_rules
 from .common import new_folder, table, tokenizer_path
 from .pieces import encode_documents
 from .secrets import scan_secrets
@@ -35,6 +35,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -42,8 +46,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_sentencepiece": op4_sentencepiece,
         "op6_quality_rules": op6_quality_rules,
+        "op7_pii": op7_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op7_pii": pii.ORACLE_SQL,
+    }
