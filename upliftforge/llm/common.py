@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_STORE = "file:///tmp/upliftforge-store"
@@ -50,6 +51,15 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A side of this many rows of a few numbers takes some ten megabytes; beyond it a join is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner", most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a table with a written one, which is broadcast only if it has ``most_rows`` at most."""
+    return large.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+
+
 def merge_spans(groups: list[tuple[str, list[tuple[int, int]]]]) -> str:
     """``kind:start:end`` of all spans by start, ties in the order of ``groups``, comma-joined."""
     found = sorted((s, k, e, kind) for k, (kind, spans) in enumerate(groups) for s, e in spans)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality_rules
+from . import line_dedup, pii, quality_rules
 from .common import new_folder, table, tokenizer_path
 from .pieces import encode_documents
 from .secrets import scan_secrets
@@ -39,6 +39,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return deduped.select("doc_id", "text", "n_lines", "n_deleted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": op4_sentencepiece,
         "op6_quality_rules": op6_quality_rules,
         "op7_pii": op7_pii,
+        "op8_line_dedup": op8_line_dedup,
     }
 
 
@@ -54,4 +60,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op7_pii": pii.ORACLE_SQL,
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
     }
