@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, pii, quality_rules
+from . import importance, line_dedup, mixing, pii, quality_rules
 from .common import new_folder, table, tokenizer_path
 from .pieces import encode_documents
 from .secrets import scan_secrets
@@ -44,6 +44,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -53,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_pii": op7_pii,
         "op8_line_dedup": op8_line_dedup,
+        "op9_mixing": op9_mixing,
+        "op10_importance_resampling": op10_importance_resampling,
     }
 
 
