@@ -11,7 +11,7 @@ text holds ``<|``, with which the strings of special tokens begin; such a text i
 
 Null texts count as empty (0 tokens).  Repeated rows give repeated results, extra columns are
 ignored, an empty table gives an empty result.  Very long texts are encoded in parts that end at
-white space, which no token crosses.
+spaces, which no token crosses.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 NORMAL_FORM = "ascii-space-case/1"
-PART_CHARS = 200_000
-BATCH_CHARS = 400_000
+SPECIAL = "<|"
+PART_CHARS = 50_000
+MEMO_WORDS = 500_000
+MEMO_CHARS = 48
 
 
 def normal_form(text):
     folded = F.translate(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(F.contains(text, F.lit("<|")), text).otherwise(folded)
+    return F.when(F.contains(text, F.lit(SPECIAL)), text).otherwise(folded)
 
 
 def parts(text: str, most: int = PART_CHARS) -> Iterator[str]:
@@ -48,6 +50,9 @@ def parts(text: str, most: int = PART_CHARS) -> Iterator[str]:
 
 
 class _Counter:
+    """Counts by word: no token crosses a space, so a text's count is the sum over its words, and
+    each word is encoded once as long as the bounded memo keeps it."""
+
     def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -55,27 +60,30 @@ class _Counter:
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """Token counts of whole texts, encoded a bounded number of characters at a time."""
-        totals, queue, owners, chars = [0] * len(texts), [], [], 0
-
-        def flush():
-            for k, e in zip(owners, self.tokenizer.encode_batch_fast(queue, add_special_tokens=False), strict=True):
-                totals[k] += len(e)
-            queue.clear()
-            owners.clear()
-
-        for k, text in enumerate(texts):
-            for part in parts(text):
-                queue.append(part)
-                owners.append(k)
-                chars += len(part)
-                if chars >= BATCH_CHARS:
-                    flush()
-                    chars = 0
-        flush()
-        return totals
+        self.memo: dict[str, int] = {}
+
+    def _encode(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def count(self, form: str) -> int:
+        if SPECIAL in form:
+            return sum(self._encode([part])[0] for part in parts(form))
+        words = form.split(" ")
+        memo = self.memo
+        new = list({w for w in words if w not in memo})
+        long = {w for w in new if len(w) > MEMO_CHARS}
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = list(set(words))
+        for at in range(0, len(new), 1000):
+            memo.update(zip(new[at : at + 1000], self._encode(new[at : at + 1000]), strict=True))
+        total = sum(map(memo.__getitem__, words))
+        for w in long:
+            memo.pop(w, None)
+        return total
+
+    def counts(self, forms: list[str]) -> list[int]:
+        return [self.count(f) for f in forms]
 
 
 _COUNTERS: dict[str, _Counter] = {}
