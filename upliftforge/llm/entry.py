@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import importance, line_dedup, mixing, pii, quality_rules
+from . import importance, line_dedup, mixing, mtree, pii, quality_rules
 from .common import new_folder, table, tokenizer_path
 from .pieces import encode_documents
 from .secrets import scan_secrets
@@ -31,6 +32,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_token_counts": op3_token_counts,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_mtree_topk": op5_mtree_topk,
         "op6_quality_rules": op6_quality_rules,
         "op7_pii": op7_pii,
         "op8_line_dedup": op8_line_dedup,
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_mtree_topk": mtree.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op7_pii": pii.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
