@@ -20,7 +20,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th", "is_first")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

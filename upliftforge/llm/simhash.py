@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_checked, materialize
 from .components import components
 
 BITS = 64
@@ -61,7 +61,9 @@ def _fingerprints(words: int, seed: int):
     def run(batches):
         for batch in batches:
             values = [fingerprint(t, words, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "th"]
+            )
 
     return run
 
@@ -192,14 +194,33 @@ def link_forest(nodes: DataFrame, radius: int = 4, tile: int = 1024, blocks: int
 def near_duplicates(
     docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, tile: int = 1024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, fingerprint, component_id, component_size`` of every row; the component's id is the
-    least ``doc_id`` in it (rows without an id take part but give none)."""
+    """``doc_id, fingerprint, component_id, component_size, th, is_first`` of every row.  The
+    component's id is the least ``doc_id`` in it (null if no member has one); ``is_first`` marks the
+    rows with the least id and then hash ``th`` of the text."""
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
-    prints = materialize(rows.mapInArrow(_fingerprints(words, seed), "doc_id long, fp long"), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
+    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    prints = materialize(hashed.mapInArrow(_fingerprints(words, seed), "doc_id long, fp long, th long"), "prints")
+    place = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "th")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")), "nodes")
     roots = materialize(components(link_forest(nodes, radius, tile)), "roots")
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    whole = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
-    named = rooted.select("fp", "root").join(whole, "root").select("fp", "component_id", "component_size")
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    whole = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("component_size"))
+    named = rooted.select("fp", "root").join(whole, "root").select("fp", "first", "component_size")
     out = prints.join(named, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    fingerprint_hex = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return out.select("doc_id", fingerprint_hex, F.col("first.doc_id").alias("component_id"), "component_size", "th", is_first.alias("is_first"))
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of :func:`near_duplicates`, with all its columns."""
+    key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
+    names = [F.col("doc_id").alias("_id"), F.col("th").alias("_th")]
+    match = key[0].eqNullSafe(F.col("_id")) & (key[1] == F.col("_th"))
+    others = materialize(found.where("not is_first").select(*names).distinct(), "others")
+    kept = join_checked(docs, others, match, "left_anti")
+    repeated = materialize(found.where("is_first").groupBy("doc_id", "th").count().where("count > 1").select(*names), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = join_checked(kept, repeated, match, "left_semi").dropDuplicates([id_col, text_col])
+    return join_checked(kept, repeated, match, "left_anti").union(once)
