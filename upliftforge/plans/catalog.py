@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_uniform
-from ..operators import balance, gates, joins, meta, profile, ranking, resample, split
+from ..operators import balance, forest, gates, joins, learners, meta, profile, ranking, resample, split
 from ..roles import FEATURES, LABELS, OUTCOME, QUANTILES, ROW_ID, TREATMENT
+from ..sources import ingest
 from ..sources.population import POPULATION_SQL, population
+from ..streaming import counts
+from .store import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -862,3 +865,130 @@ def evidence_violations(spark, sf_dir):
     records = gates.pre_split_gates(population(spark, sf_dir)).withColumn("execution_state", F.lit("EXECUTED"))
     return resample.evidence_violations(records).agg(F.count("*").alias("violations"))
 
+
+
+# Sources and sinks
+
+RAW_COLUMNS = ", ".join((*FEATURES, *LABELS))
+
+
+def csv_copy(spark, sf_dir) -> str:
+    """The population's raw columns as one CSV file in id order."""
+    path = new_folder(spark, "csv")
+    population(spark, sf_dir).orderBy(ROW_ID).select(*FEATURES, *LABELS).coalesce(1).write.options(header=True).csv(path)
+    return path
+
+
+@query("csv_typed_scan", with_pop(f"select {RAW_COLUMNS} from pop"))
+def csv_typed_scan(spark, sf_dir):
+    return ingest.read_csv_typed(spark, csv_copy(spark, sf_dir))
+
+
+@query("csv_safe_cast", with_pop("select count(*) as rows, count(f3) as f3, round(sum(f0), 2) as f0, cast(sum(treatment) as bigint) as treated from pop"))
+def csv_safe_cast(spark, sf_dir):
+    df = ingest.safe_cast(ingest.read_csv_text(spark, csv_copy(spark, sf_dir)))
+    return df.agg(F.count("*").alias("rows"), F.count("f3").alias("f3"), F.round(F.sum("f0"), 2).alias("f0"), F.sum(TREATMENT).alias("treated"))
+
+
+@query("csv_text_quality", with_pop("select feature, count(*) - count(value) as missing, 0::bigint as malformed from long group by feature", LONG))
+def csv_text_quality(spark, sf_dir):
+    return gates.text_quality_counts(ingest.read_csv_text(spark, csv_copy(spark, sf_dir)))
+
+
+@query("csv_inferred_scan", with_pop("select count(*) as rows, count(f3) as f3, max(f0) as f0 from pop"))
+def csv_inferred_scan(spark, sf_dir):
+    return ingest.read_csv_inferred(spark, csv_copy(spark, sf_dir)).agg(F.count("*").alias("rows"), F.count("f3").alias("f3"), F.max("f0").alias("f0"))
+
+
+@query("csv_to_parquet", with_pop(f"select {RAW_COLUMNS}, _source_row_id from pop"))
+def csv_to_parquet(spark, sf_dir):
+    path = new_folder(spark, "processed")
+    ingest.convert_csv(spark, csv_copy(spark, sf_dir), path)
+    return ingest.scan(spark, path, (*FEATURES, *LABELS, ROW_ID))
+
+
+@query("row_ordinal", with_pop("select _source_row_id, f0, treatment from pop"))
+def row_ordinal(spark, sf_dir):
+    return ingest.with_row_ordinal(ingest.read_csv_typed(spark, csv_copy(spark, sf_dir))).select(ROW_ID, "f0", TREATMENT)
+
+
+@query("prefix_limit", with_pop("select _source_row_id, f0 from pop where _source_row_id < 1000"))
+def prefix_limit(spark, sf_dir):
+    return ingest.prefix(population(spark, sf_dir), 1000).select(ROW_ID, "f0")
+
+
+@query("projected_scan", with_pop("select _source_row_id, f0, treatment from pop"))
+def projected_scan(spark, sf_dir):
+    path = new_folder(spark, "processed")
+    ingest.write_parquet(population(spark, sf_dir).select(*FEATURES, *LABELS, ROW_ID), path)
+    return ingest.scan(spark, path, (ROW_ID, "f0", TREATMENT))
+
+
+@query(
+    "describe_columns",
+    "select column_name, column_type, cast(position as integer) as position from (values " + ", ".join(f"('{c}', '{'double' if c in FEATURES else 'bigint'}', {k})" for k, c in enumerate((ROW_ID, *FEATURES, *LABELS))) + ") as t(column_name, column_type, position)",
+)
+def describe_columns(spark, sf_dir):
+    return ingest.describe_columns(population(spark, sf_dir))
+
+
+query("semantic_digest")(lambda spark, sf_dir: ingest.semantic_digest(population(spark, sf_dir)))
+
+
+@query("streaming_joint_counts", with_pop("select treatment, conversion, count(*) as n from pop group by all"))
+def streaming_joint_counts(spark, sf_dir):
+    """The stream is run to its end; its complete output is the batch result."""
+    path, name = new_folder(spark, "stream"), "joint_counts_" + new_folder(spark, "q").rsplit("-", 1)[1]
+    population(spark, sf_dir).select(*FEATURES, *LABELS, ROW_ID).repartition(4, ROW_ID).write.parquet(path)
+    stream = counts.joint_counts(counts.population_stream(spark, path))
+    running = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_folder(spark, "offsets")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name)
+
+
+# Fitted models: rows are checked, not values
+
+FAST = learners.GbmConfig(rounds=5, depth=3)
+SMALL_FOREST = forest.ForestConfig(trees=20, depth=5)
+
+
+def development(spark, sf_dir):
+    df = population(spark, sf_dir)
+    parts = split.SplitDataset(split.assign_split(df))
+    return joins.rows_in(df, parts.train_ids()), joins.rows_in(df, parts.validation_ids())
+
+
+@query("response_model")
+def response_model(spark, sf_dir):
+    return ranking.qini_summary(learners.response_model(*development(spark, sf_dir), FAST))
+
+
+@query("tlearner_model")
+def tlearner_model(spark, sf_dir):
+    return ranking.qini_summary(learners.t_learner(*development(spark, sf_dir), FAST).withColumnRenamed("tau", "score"))
+
+
+@query("xlearner_model")
+def xlearner_model(spark, sf_dir):
+    return ranking.qini_summary(learners.x_learner(*development(spark, sf_dir), FAST).withColumnRenamed("tau", "score"))
+
+
+@query("treatment_predictability")
+def treatment_predictability(spark, sf_dir):
+    return learners.treatment_predictability(population(spark, sf_dir), 5, FAST)
+
+
+@query("causal_forest")
+def causal_forest(spark, sf_dir):
+    train, validation = development(spark, sf_dir)
+    return forest.predict(validation, forest.fit(train, SMALL_FOREST))
+
+
+@query("leaf_support")
+def leaf_support(spark, sf_dir):
+    return forest.leaf_support(forest.fit(development(spark, sf_dir)[0], SMALL_FOREST))
+
+
+@query("jacobian_support")
+def jacobian_support(spark, sf_dir):
+    return forest.jacobian_support(causal_forest(spark, sf_dir))
