@@ -3,9 +3,10 @@
 Vectors are cut into shards of bounded size by a hash of their row.  Each shard holds an M-tree:
 metric pages of a routing object, its covering radius and its distance to the parent's routing
 object, and leaf pages with the distance of each member to the page's routing object.  A search
-takes pages in the order of the best score that they can hold.  Stored distances bound that score
-through the triangle inequality, so most distances to routing objects and most scores are never
-computed.  For a page around ``c`` with radius ``r`` and longest member ``N``, every member ``x`` has
+takes leaf pages in the order of the best score that they can hold.  Stored distances bound that
+score through the triangle inequality, so that distances to routing objects and scores are computed
+only where they can matter.  Queries of a group advance together: in each round every query names
+its next pages, and a page that several queries named is scored for all of them at once.  For a page around ``c`` with radius ``r`` and longest member ``N``, every member ``x`` has
 ``q.x = (|q|^2 + |x|^2 - d(q,x)^2) / 2 <= (|q|^2 + N^2 - max(0, d(q,c) - r)^2) / 2``.
 
 The queries are a stated set; they meet every shard in groups of bounded size, and each meeting
@@ -19,7 +20,6 @@ meet others of their dimension.  Extra columns are ignored; an empty table gives
 
 from __future__ import annotations
 
-import heapq
 import io
 
 import numpy as np
@@ -33,9 +33,10 @@ SCALE = 64
 LARGEST = float(1 << 19)
 SHARD_ROWS = 16_384
 GROUP_QUERIES = 1_024
-PAGE = 64  # members of a leaf page
+PAGE = 128  # members of a leaf page
 FANOUT = 12
 SLACK = 1e-6
+PENDING = 200_000  # candidates that wait to be merged
 
 TREE_SCHEMA = "dim int, shard int, tree binary"
 FOUND_SCHEMA = "quid long, query_id long, uid long, vec_id long, score long"
@@ -105,60 +106,121 @@ class Tree:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.a = arrays
         self.ids, self.uids = arrays["ids"], arrays["uids"]
+        self.whole = arrays["points"].astype(np.int64)
         self.points = arrays["points"].astype(float)
         self.members, self.near = arrays["members"], arrays["near"]
         self.norms = np.einsum("ij,ij->i", self.points, self.points)
-        self.exact = arrays["points"].shape[1] * float(np.abs(arrays["points"]).max(initial=0)) ** 2 < 2**52
+        self.largest = float(np.abs(self.points).max(initial=0))
+        self.leaves = np.nonzero(arrays["leaf"])[0]
         self.computed = 0  # distances and scores, for tests
 
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        self.computed += len(rows)
-        if self.exact and np.abs(query).max() * np.abs(self.a["points"]).max(initial=0) * len(query) < 2**52:
-            return (self.points[rows] @ query.astype(float)).astype(np.int64)  # sums of integers below 2^53
-        return self.a["points"][rows].astype(np.int64) @ query.astype(np.int64)
-
-    def search(self, query: np.ndarray, k: int, own: int) -> list[tuple[int, int, int]]:
-        """``(score, vec_id, uid)`` of the best ``k``, best first."""
-        a, q = self.a, query.astype(float)
-        qq = float(q @ q)
+    def _scores(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        self.computed += len(rows) * len(queries)
+        if self.largest * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 2**52:
+            return (queries.astype(float) @ self.points[rows].T).astype(np.int64)  # sums of integers below 2^53
+        return queries @ self.whole[rows].T
+
+    def _bounds(self, q: np.ndarray, qq: np.ndarray, floor: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Best score that each leaf page can hold for each query (minus infinity if it cannot reach
+        the floor) and the distance to its routing object."""
+        a, m = self.a, len(q)
+        best = np.full((m, len(a["center"])), -np.inf)
+        away = np.zeros_like(best)
         slack = SLACK * (1.0 + qq + float(a["norm"][0]))
-        best: list[tuple[int, int, int]] = []  # score, -vec_id, -uid: the worst on top
-        floor = -np.inf
-        bound = lambda d, norm: (qq + norm - np.maximum(0.0, d) ** 2) / 2 + slack
-        d0 = float(_distances(self.points[a["center"][:1]], q)[0])
-        queue = [(-float(bound(d0 - a["radius"][0], a["norm"][0])), 0, d0)]
-        while queue:
-            most, page, d = heapq.heappop(queue)
-            if -most < floor:
-                break
-            s, e = int(a["first"][page]), int(a["first"][page] + a["count"][page])
-            if a["leaf"][page]:
-                rows = self.members[s:e]
-                rows = rows[bound(np.abs(d - self.near[s:e]), self.norms[rows]) >= floor]
-                rows = rows[self.uids[rows] != own]
-                if not len(rows):
+        bound = lambda rows, d, norm: (qq[rows] + norm - np.maximum(0.0, d) ** 2) / 2 + slack[rows]
+        level = [(0, np.arange(m))]
+        away[:, 0] = _distances(q, self.points[a["center"][0]])
+        best[:, 0] = bound(level[0][1], away[:, 0] - a["radius"][0], a["norm"][0])
+        while level:
+            following = []
+            for page, rows in level:
+                if a["leaf"][page]:
                     continue
-                scores = self.scores(rows, query)
-                keep = np.nonzero(scores >= floor)[0]
-                for score, r in zip(scores[keep].tolist(), rows[keep].tolist(), strict=True):
-                    entry = (score, -int(self.ids[r]), -int(self.uids[r]))
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-                if len(best) == k:
-                    floor = best[0][0]
-                continue
-            child = np.arange(s, e)
-            child = child[bound(np.abs(d - a["up"][s:e]) - a["radius"][s:e], a["norm"][s:e]) >= floor]  # without a distance
-            if len(child):
-                self.computed += len(child)
-                away = _distances(self.points[a["center"][child]], q)
-                tops = bound(away - a["radius"][child], a["norm"][child])
-                for top, c, w in zip(tops.tolist(), child.tolist(), away.tolist(), strict=True):
-                    if top >= floor:
-                        heapq.heappush(queue, (-top, c, w))
-        return sorted(((s, -i, -u) for s, i, u in best), key=lambda x: (-x[0], x[1], x[2]))
+                for c in range(int(a["first"][page]), int(a["first"][page] + a["count"][page])):
+                    keep = rows
+                    if floor is not None:  # the parent's distance may settle it
+                        keep = rows[bound(rows, np.abs(away[rows, page] - a["up"][c]) - a["radius"][c], a["norm"][c]) >= floor[rows]]
+                        if not len(keep):
+                            continue
+                    self.computed += len(keep)
+                    away[keep, c] = _distances(q[keep], self.points[a["center"][c]])
+                    tops = bound(keep, away[keep, c] - a["radius"][c], a["norm"][c])
+                    if floor is not None:
+                        keep, tops = keep[tops >= floor[keep]], tops[tops >= floor[keep]]
+                    if len(keep):
+                        best[keep, c] = tops
+                        following.append((c, keep))
+            level = following
+        return best[:, self.leaves], away[:, self.leaves]
+
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of the query, row of the tree and score of the ``k`` best for each query; ``own`` is the
+        row number that a query must not meet."""
+        a, m = self.a, len(queries)
+        q = queries.astype(float)
+        qq = np.einsum("ij,ij->i", q, q)
+        best = [np.empty(0, np.int64)] * 3  # query, row, score
+        pending: list[tuple] = []
+        floor, last = np.full(m, -np.inf), np.full(m, np.iinfo(np.int64).max)
+
+        def merge() -> None:
+            nonlocal best
+            if not pending:
+                return
+            found = [np.concatenate(x) for x in zip(best, *pending, strict=True)]
+            pending.clear()
+            order = np.lexsort((self.uids[found[1]], self.ids[found[1]], -found[2], found[0]))
+            found = [x[order] for x in found]
+            place = np.arange(len(order)) - np.searchsorted(found[0], found[0])
+            best = [x[place < k] for x in found]
+            worst = place[place < k] == k - 1
+            floor[best[0][worst]], last[best[0][worst]] = best[2][worst], self.ids[best[1][worst]]
+
+        def visit(leaf: int, rows: np.ndarray, away: np.ndarray) -> None:
+            page = self.leaves[leaf]
+            s, e = int(a["first"][page]), int(a["first"][page] + a["count"][page])
+            members, near = self.members[s:e], self.near[s:e]
+            # Members whose stored distance rules them out for all of the queries are left out.
+            gap = np.maximum(0.0, np.maximum(away[rows].min() - near, near - away[rows].max()))
+            top = (qq[rows].max() + self.norms[members] - gap**2) / 2 + SLACK * (1.0 + qq[rows].max() + float(a["norm"][0]))
+            members = members[top >= floor[rows].min()]
+            if not len(members):
+                return
+            scores = self._scores(members, queries[rows])
+            good = (scores > floor[rows][:, None]) | ((scores == floor[rows][:, None]) & (self.ids[members][None, :] <= last[rows][:, None]))
+            good &= self.uids[members][None, :] != own[rows][:, None]
+            i, j = np.nonzero(good)
+            pending.append((rows[i], members[j], scores[i, j]))
+            if sum(len(p[0]) for p in pending) > PENDING:
+                merge()
+
+        # The page that promises most gives each query its first floor.
+        tops, away = self._bounds(q, qq, None if m * len(a["center"]) < 1 << 16 else floor)
+        lead = tops.argmax(1)
+        for leaf in np.unique(lead):
+            visit(int(leaf), np.nonzero(lead == leaf)[0], away[:, leaf])
+        merge()
+        tops[np.arange(m), lead] = -np.inf
+        order = np.argsort(-tops, axis=1)
+        at, width = 0, 1
+        while at < len(self.leaves):
+            chosen = order[:, at : at + width]
+            open_ = np.take_along_axis(tops, chosen, 1) >= floor[:, None]
+            if not open_[:, 0].any():
+                break
+            rows, columns = np.nonzero(open_)
+            leaves = chosen[rows, columns]
+            by_leaf = np.argsort(leaves, kind="stable")
+            cuts = np.nonzero(np.diff(leaves[by_leaf]))[0] + 1
+            for part in np.split(by_leaf, cuts):
+                if len(part):
+                    leaf = int(leaves[part[0]])
+                    still = rows[part][tops[rows[part], leaf] >= floor[rows[part]]]
+                    if len(still):
+                        visit(leaf, still, away[:, leaf])
+            merge()
+            at, width = at + width, min(2 * width, 64)
+        return best[0], best[1], best[2]
 
 
 def pack(pdf: pd.DataFrame) -> bytes:
@@ -179,12 +241,13 @@ def _build(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _searcher(k: int):
     def search(queries: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        parts = [pd.DataFrame(columns=["quid", "query_id", "uid", "vec_id", "score"], dtype="int64")]
         for blob in trees["tree"] if len(queries) else ():
             tree = unpack(blob)
-            for uid, qid, vector in zip(queries["uid"].tolist(), queries["vec_id"].tolist(), queries["vector"], strict=True):
-                rows += [(uid, qid, u, i, s) for s, i, u in tree.search(np.asarray(vector, np.int64), k, uid)]
-        return pd.DataFrame(rows, columns=["quid", "query_id", "uid", "vec_id", "score"], dtype="int64")
+            uids, ids = queries["uid"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64)
+            q, row, score = tree.search(np.array(queries["vector"].tolist(), np.int64), k, uids)
+            parts.append(pd.DataFrame({"quid": uids[q], "query_id": ids[q], "uid": tree.uids[row], "vec_id": tree.ids[row], "score": score}))
+        return pd.concat(parts) if len(parts) > 1 else parts[0]
 
     return search
 
