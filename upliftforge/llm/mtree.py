@@ -205,7 +205,8 @@ class Tree:
         at, width = 0, 1
         while at < len(self.leaves):
             chosen = order[:, at : at + width]
-            open_ = np.take_along_axis(tops, chosen, 1) >= floor[:, None]
+            promised = np.take_along_axis(tops, chosen, 1)
+            open_ = (promised >= floor[:, None]) & (promised > -np.inf)
             if not open_[:, 0].any():
                 break
             rows, columns = np.nonzero(open_)
@@ -235,7 +236,7 @@ def unpack(blob: bytes) -> Tree:
         return Tree({name: found[name] for name in found.files})
 
 
-def _build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pack(pdf.sort_values("uid"))]})
 
 
