@@ -27,6 +27,7 @@ from .common import join_checked, materialize
 
 SEED = 42
 NOISE = 0.1  # scale of the Gumbel noise in units of log weight
+REJECTION_COST = 3.0  # of a rejected target document against a kept other one, in shares of each
 BINS = 1024
 SMALL_BIN = 5000
 
@@ -37,14 +38,17 @@ def target_kind() -> Column:
 
 
 def best_threshold(weights: np.ndarray, target: np.ndarray) -> float:
-    """Middle of the gap that separates targets from others with the best balanced accuracy."""
+    """Middle of the widest gap that separates targets from others at the least cost; minus infinity
+    if no cut is worth its cost."""
     if not target.any() or target.all():
         return -math.inf
     order = np.argsort(weights, kind="stable")
     w, t = weights[order], target[order]
     below_other, below_target = np.cumsum(~t) / (~t).sum(), np.cumsum(t) / t.sum()
-    balance = below_other - below_target
+    balance = below_other - REJECTION_COST * below_target
     balance[:-1][w[:-1] == w[1:]] = -np.inf  # no cut within equal weights
+    if balance.max() <= 0:
+        return -math.inf
     best = np.nonzero(balance >= balance.max() - 1e-12)[0]
     gaps = [(w[i + 1] - w[i] if i + 1 < len(w) else 0.0) for i in best]
     i = best[int(np.argmax(gaps))]
@@ -92,7 +96,7 @@ def resample(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = materialize(ngrams.labelled_sample(labels, target_kind(), max_labelled), "labelled")
     ratios = ngrams.log_ratios(ngrams.gram_counts(rows, sample.where("kind = 0"), 1))
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(ratios.transpose(1, 2, 0)))  # a model of fixed size
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(ratios.transpose(1, 2, 0), np.float32))  # a model of fixed size
     input_rows = rows.withColumn("th", F.xxhash64("text")).join(F.broadcast(sample), "doc_id", "left").select("doc_id", "th", "text", "kind", "fold")
     schema = "doc_id long, th long, kind int, fold int, n_words long, log_weight double"
     scored = materialize(input_rows.mapInArrow(_score_batches(shared), schema), "weights")

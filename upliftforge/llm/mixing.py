@@ -136,7 +136,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = ngrams.MAX_
     sizes = dict(sample.groupBy("kind").count().collect())
     prior = np.array([sizes.get(k, 0) + 1.0 for k in range(n)]) / (sum(sizes.values()) + n)
     ratios = ngrams.log_ratios(ngrams.gram_counts(docs, sample, n, ORDER))
-    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(ratios.transpose(1, 2, 0)))  # a model of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(ratios.transpose(1, 2, 0), np.float32))  # a model of fixed size
     schema = "doc_id long, th long, kind int, fold int, tokens long, " + ", ".join(f"s{k} double" for k in range(n))
     known = docs.join(F.broadcast(sample), "doc_id", "left").select("doc_id", F.xxhash64("text").alias("th"), "text", "kind", "fold")
     scored = materialize(known.mapInArrow(_scores(shared, n), schema), "scores")

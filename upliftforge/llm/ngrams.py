@@ -13,7 +13,6 @@ that shares a bucket with a telling one is not taken for it.
 from __future__ import annotations
 
 import bisect
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,52 +32,67 @@ LEAST_RATIO = 0.7
 LEAST_Z = 2.5
 SHAPE_WEIGHT = 2.0
 SHAPE_WORDS = 8  # shorter texts have no shape
-MEMO_WORDS = 500_000
+PART_BYTES = 1 << 20
 
 #: Symbols that are words; digits and other marks separate words.
 SYMBOLS = b"#$%&*|<>!"
+SEPARATOR, LETTER, SYMBOL = 0, 1, 2
+KIND = np.array([SYMBOL if c in SYMBOLS else LETTER if c >= 0x80 or chr(c).isalpha() else SEPARATOR for c in range(256)], np.uint8)
+LOWER = np.array([c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256)], np.uint64) + np.uint64(1)
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
-SEPARATED = bytes(c if c >= 0x80 or chr(c).isalpha() or c in SYMBOLS else 0x20 for c in range(256))
-
-
-class _Hashes(dict):
-    """Hashes of words, emptied when full; long words are not kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = zlib.crc32(word)
-        if len(word) <= 32:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = value
-        return value
-
-
-_HASHES = _Hashes()
+#: Odd powers that weigh the bytes of a word by their place, used again after so many bytes.
+LONG_WORD = 1 << 12
+with np.errstate(over="ignore"):
+    POWERS = np.cumprod(np.full(LONG_WORD, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def word_hashes(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in ASCII lower case, in order, and which of them are symbols."""
+    data = np.frombuffer(whole, np.uint8)
+    kind = KIND[data]
+    symbol, letter = kind == SYMBOL, kind == LETTER
+    first = symbol | letter
+    first[1:] &= symbol[1:] | ~letter[:-1]  # a letter after a letter goes on with its word
+    at = np.nonzero(kind)[0]
+    if not len(at):
+        return np.empty(0, np.uint64), np.empty(0, bool)
+    starts = np.nonzero(first[at])[0]
+    sizes = np.diff(np.append(starts, len(at)))
+    place = np.arange(len(at)) - np.repeat(starts, sizes)
+    hashes = np.add.reduceat(LOWER[data[at]] * POWERS[place & (LONG_WORD - 1)], starts)
+    hashes ^= hashes >> np.uint64(31)
+    return hashes * np.uint64(0xD6E8FEB86659FD93), symbol[at[starts]]
+
+
+def _spread(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Numbers below ``span`` from the upper halves of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(span)) >> np.uint64(32)
 
 
 def present(text: str | None, order: int = 2) -> tuple[int, np.ndarray]:
     """Number of words of a whole text, and for each of its distinct n-grams up to ``order`` the
     buckets in the two tables."""
     whole = (text or "").encode()
-    raw = whole.lower().translate(SEPARATED)
-    for c in SYMBOLS:
-        if c in raw:
-            raw = raw.replace(bytes([c]), b" %c " % c)
-    words = raw.split()
-    n = len(words)
+    found, at = [], 0
+    while at < len(whole):  # a very long text in parts that end at a space
+        end = whole.find(b" ", at + PART_BYTES)
+        end = len(whole) if end < 0 else end
+        found.append(word_hashes(whole[at:end]))
+        at = end
+    hashes = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.uint64)
+    n = len(hashes)
     if not n:
         return 0, np.empty((2, 0), np.int64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
     places, gram = [], hashes
     for k in range(order):
         if k:
             gram = gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:]
-        mixed = np.unique((gram ^ np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93))
+        one = np.unique(gram)
+        two = (one ^ (one >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         start, span = (WORD_BUCKETS, GRAM_BUCKETS) if k else (0, WORD_BUCKETS)
-        both = np.stack([mixed >> np.uint64(33), (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)])
-        places.append((both % np.uint64(span)).astype(np.int64) + start)
+        places.append(np.stack([_spread(one, span), _spread(two, span)]).astype(np.int64) + start)
     if n >= SHAPE_WORDS:
-        symbols = sum(map(raw.count, [b" %c " % c for c in SYMBOLS])) / n
+        symbols = sum(int(f[1].sum()) for f in found) / n
         repeats = float((hashes[1:] == hashes[:-1]).mean())
         capitals = 1 - len(whole.translate(None, CAPITALS)) / len(whole)
         base, step = WORD_BUCKETS + GRAM_BUCKETS, len(LEVELS) + 1
@@ -185,4 +199,4 @@ def score(text: str | None, ratios: np.ndarray, order: int = 2) -> tuple[int, np
     n, held = present(text, order)
     one, two = ratios[0, held[0]], ratios[1, held[1]]
     milder = np.where(np.abs(one) <= np.abs(two), one, two)
-    return n, np.where(one * two > 0, milder, 0.0).sum(0)
+    return n, np.where(one * two > 0, milder, 0.0).sum(0, dtype=float)
