@@ -92,8 +92,16 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*[r(c, digits) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+SLIM = (ROW_ID, "f0", *LABELS)
+
+
+def slim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, labels and the one feature that stands in for a score: no join is needed for these."""
+    return population(spark, sf_dir, SLIM)
+
+
 def scored_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return population(spark, sf_dir).withColumn("score", F.col("f0"))
+    return slim(spark, sf_dir).withColumn("score", F.col("f0"))
 
 
 def wide_sql(columns, template: str) -> str:
@@ -144,7 +152,7 @@ def quality_counts(spark, sf_dir):
     with_pop("select count(*) as rows, count(distinct _source_row_id) as distinct_ids, 0::bigint as null_ids, min(_source_row_id) as min_id, max(_source_row_id) as max_id, true as unique_ids, min(_source_row_id) = 0 and max(_source_row_id) = count(*) - 1 as dense_ids from pop"),
 )
 def identity_summary(spark, sf_dir):
-    return gates.identity_summary(population(spark, sf_dir))
+    return gates.identity_summary(slim(spark, sf_dir))
 
 
 @query(
@@ -170,12 +178,12 @@ def ranking_gates(spark, sf_dir):
 
 @query("arm_allocation", with_pop("select count(*) as rows, count(*) filter (where treatment = 1) as treated, count(*) filter (where treatment = 0) as control, round(avg(treatment), 9) as treated_rate from pop"))
 def arm_allocation(spark, sf_dir):
-    return rounded(profile.arm_allocation(population(spark, sf_dir)))
+    return rounded(profile.arm_allocation(slim(spark, sf_dir)))
 
 
 @query("joint_ty", with_pop("select treatment, conversion, count(*) as n from pop group by all"))
 def joint_ty(spark, sf_dir):
-    return profile.joint_counts(population(spark, sf_dir))
+    return profile.joint_counts(slim(spark, sf_dir))
 
 
 @query(
@@ -186,7 +194,7 @@ def joint_ty(spark, sf_dir):
     ),
 )
 def within_arm_share(spark, sf_dir):
-    return rounded(profile.within_arm_share(population(spark, sf_dir)))
+    return rounded(profile.within_arm_share(slim(spark, sf_dir)))
 
 
 @query(
@@ -194,12 +202,12 @@ def within_arm_share(spark, sf_dir):
     with_pop("select treatment, count(*) as n, " + ", ".join(f"cast(sum({c}) as bigint) as {c}_sum, round(avg({c}), 9) as {c}_rate" for c in ("conversion", "visit", "exposure")) + " from pop group by treatment"),
 )
 def secondary_by_arm(spark, sf_dir):
-    return rounded(profile.secondary_by_arm(population(spark, sf_dir)))
+    return rounded(profile.secondary_by_arm(slim(spark, sf_dir)))
 
 
 @query("exposure_crosstab", with_pop("select treatment, count(*) filter (where exposure = 0) as exposure_0, count(*) filter (where exposure = 1) as exposure_1 from pop group by treatment"))
 def exposure_crosstab(spark, sf_dir):
-    return profile.crosstab(population(spark, sf_dir))
+    return profile.crosstab(slim(spark, sf_dir))
 
 
 @query("arm_moments", with_pop("select treatment, feature, count(value) as non_missing, round(avg(value), 6) as mean, round(var_samp(value), 4) as variance from long group by treatment, feature", LONG))
@@ -373,12 +381,12 @@ def duplicate_characteristics(spark, sf_dir):
     with_pop("select a.b as beyond_float64, c.b as beyond_float32, c.b - a.b as extra from (select cast(coalesce(sum(n - 1), 0) as bigint) as b from (select count(*) as n from pop group by f0)) a, (select cast(coalesce(sum(n - 1), 0) as bigint) as b from (select count(*) as n from pop group by f0::float)) c"),
 )
 def float32_collisions(spark, sf_dir):
-    return profile.float32_collisions(population(spark, sf_dir))
+    return profile.float32_collisions(slim(spark, sf_dir))
 
 
 @query("precision_reconciliation", with_pop("select count(*) as rows, 0::bigint as unmatched, count(*) filter (where f0::float::double <> f0) as different from pop"))
 def precision_reconciliation(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return profile.reconcile_precision(df, df.withColumn("f0", F.col("f0").cast("float").cast("double")), ("f0",))
 
 
@@ -387,7 +395,7 @@ def precision_reconciliation(spark, sf_dir):
 
 @query("split_assign", with_pop("select _source_row_id, split from parts", STRATA_SQL))
 def split_assign(spark, sf_dir):
-    return split.assign_split(population(spark, sf_dir))
+    return split.assign_split(slim(spark, sf_dir))
 
 
 @query(
@@ -395,7 +403,7 @@ def split_assign(spark, sf_dir):
     with_pop("select split, treatment, conversion, count(*) as n from parts where split <> 'held_out' group by all", STRATA_SQL),
 )
 def split_support(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     members = split.assign_split(df)
     both = [split.split_support(df, members, s).withColumn("split", F.lit(s)) for s in ("train", "validation")]
     return both[0].unionByName(both[1]).select("split", F.col(TREATMENT).cast("long").alias(TREATMENT), F.col(OUTCOME).cast("long").alias(OUTCOME), "n")
@@ -403,13 +411,13 @@ def split_support(spark, sf_dir):
 
 @query("split_disjoint", with_pop("select 0::bigint as overlapping, 0::bigint as missing, 0::bigint as extra, true as passed"))
 def split_disjoint(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return split.disjoint_and_complete(split.assign_split(df), df)
 
 
 @query("held_out_gate", with_pop("select case when count(*) = 4 then 'PASS' else 'FAIL' end as gate from (select distinct treatment, conversion from parts where split = 'held_out')", STRATA_SQL))
 def held_out_gate(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return split.held_out_gate(df, split.assign_split(df))
 
 
@@ -420,7 +428,7 @@ def held_out_gate(spark, sf_dir):
     ),
 )
 def membership_digest(spark, sf_dir):
-    return split.membership_digest(split.assign_split(population(spark, sf_dir)))
+    return split.membership_digest(split.assign_split(slim(spark, sf_dir)))
 
 
 @query(
@@ -431,7 +439,7 @@ def membership_digest(spark, sf_dir):
     ),
 )
 def smoke_sample(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return split.quota_sample(df, split.assign_split(df), "train", 500)
 
 
@@ -440,12 +448,12 @@ def smoke_sample(spark, sf_dir):
     with_pop("select _source_row_id, case when k <= floor(n * 0.5::double + 0.5) then 'A' else 'B' end as fold from (select _source_row_id, row_number() over (partition by treatment, conversion order by md5('ab|42|' || _source_row_id), _source_row_id) as k, count(*) over (partition by treatment, conversion) as n from pop)"),
 )
 def fold_assign_ab(spark, sf_dir):
-    return split.assign_ab(population(spark, sf_dir))
+    return split.assign_ab(slim(spark, sf_dir))
 
 
 @query("fold_assign_k", with_pop("select _source_row_id, cast((row_number() over (partition by treatment order by md5('folds|42|' || _source_row_id), _source_row_id) - 1) % 5 as smallint) as fold_id from pop"))
 def fold_assign_k(spark, sf_dir):
-    return split.assign_folds(population(spark, sf_dir))
+    return split.assign_folds(slim(spark, sf_dir))
 
 
 PERMUTED_SQL = "perm as (select _source_row_id, f2, case when row_number() over (partition by f2 order by md5('perm|42|0|' || _source_row_id), _source_row_id) <= sum(treatment) over (partition by f2) then 1 else 0 end as t_perm from pop)"
@@ -480,19 +488,19 @@ def cross_split_overlap(spark, sf_dir):
 
 @query("join_split_labels", with_pop("select split, count(*) as n, round(avg(f0), 6) as mean_f0 from parts group by split", STRATA_SQL))
 def join_split_labels(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return rounded(joins.with_labels(df, split.assign_split(df)).groupBy("split").agg(F.count("*").alias("n"), F.avg("f0").alias("mean_f0")), 6)
 
 
 @query("one_to_one_join", ORACLES["fold_assign_ab"].replace("select _source_row_id, case", "select _source_row_id, conversion, case").replace("(select _source_row_id, row_number()", "(select _source_row_id, conversion, row_number()"))
 def one_to_one_join(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return joins.one_to_one(df.select(ROW_ID, OUTCOME), split.assign_ab(df))
 
 
 @query("semi_join_rows", with_pop("select _source_row_id, f0 from parts where split = 'validation'", STRATA_SQL))
 def semi_join_rows(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return joins.rows_in(df, split.SplitDataset(split.assign_split(df)).validation_ids()).select(ROW_ID, "f0")
 
 
@@ -505,13 +513,13 @@ def profile_semi_join(spark, sf_dir):
 
 @query("alignment_check", with_pop("select count(*) as expected, 0::bigint as misaligned_1, count(*) filter (where _source_row_id % 10 = 0) as misaligned_2 from pop"))
 def alignment_check(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return joins.alignment(df, df, df.where(f"{ROW_ID} % 10 <> 0"))
 
 
 @query("id_set_relations", with_pop("select count(*) filter (where treatment = 1 and visit = 1) as common, count(*) filter (where treatment = 1 and visit = 0) as only_a, count(*) filter (where treatment = 0 and visit = 1) as only_b, false as disjoint, false as a_within_b, false as equal from pop"))
 def id_set_relations(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return joins.id_sets(df.where("treatment = 1"), df.where("visit = 1"))
 
 
@@ -520,7 +528,7 @@ def id_set_relations(spark, sf_dir):
     with_pop("select a as treatment, b as exposure, coalesce(n, 0) as n from (select unnest([0, 0, 1, 1])::bigint as a, unnest([0, 1, 0, 1])::bigint as b) g left join (select treatment, exposure, count(*) as n from pop group by all) c on a = treatment and b = exposure"),
 )
 def complete_grid(spark, sf_dir):
-    return profile.complete_grid(profile.joint_counts(population(spark, sf_dir), (TREATMENT, "exposure")), (TREATMENT, "exposure"))
+    return profile.complete_grid(profile.joint_counts(slim(spark, sf_dir), (TREATMENT, "exposure")), (TREATMENT, "exposure"))
 
 
 @query("canonical_order", with_pop("select f3, _source_row_id, row_number() over (order by f3 asc nulls last, _source_row_id) as place from pop qualify place <= 100"))
@@ -544,12 +552,12 @@ def first_per_group(spark, sf_dir):
 
 @query("all_cells_supported", with_pop("select min(n) > 0 as supported, min(n) as least from (select count(*) as n from pop group by treatment, conversion)"))
 def all_cells_supported(spark, sf_dir):
-    return profile.all_cells_supported(population(spark, sf_dir))
+    return profile.all_cells_supported(slim(spark, sf_dir))
 
 
 @query("treatment_rate", with_pop("select round(avg(treatment), 9) as g from parts where split = 'train'", STRATA_SQL))
 def treatment_rate(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     train = joins.rows_in(df, split.SplitDataset(split.assign_split(df)).train_ids())
     return rounded(profile.treatment_rate(train))
 
@@ -561,7 +569,7 @@ ATE_SQL = "select round(p1 - p0, 9) as ate, round(se, 9) as se, round(p1 - p0 -
 
 @query("ate", with_pop(ATE_SQL))
 def ate(spark, sf_dir):
-    return rounded(ranking.ate(population(spark, sf_dir)))
+    return rounded(ranking.ate(slim(spark, sf_dir)))
 
 
 @query("canonical_ranking", with_pop("select _source_row_id, r, n1::bigint as n1, n0::bigint as n0, y1::bigint as y1, y0::bigint as y0 from run", prefix_sql("pop", "f0")))
@@ -670,7 +678,7 @@ DIAGNOSTICS = (
     ),
 )
 def response_diagnostics(spark, sf_dir):
-    df = population(spark, sf_dir).withColumn("score", F.round(0.05 + F.col("f0") / 5_000_000.0, 4))
+    df = slim(spark, sf_dir).withColumn("score", F.round(0.05 + F.col("f0") / 5_000_000.0, 4))
     return rounded(ranking.response_diagnostics(df))
 
 
@@ -680,14 +688,14 @@ def uniform_sql(text: str) -> str:
 
 @query("random_scores", with_pop(f"select _source_row_id, {uniform_sql(chr(39) + 'random|42|' + chr(39) + ' || _source_row_id')} as score from pop"))
 def random_scores(spark, sf_dir):
-    return resample.random_scores(population(spark, sf_dir)).select(ROW_ID, "score")
+    return resample.random_scores(slim(spark, sf_dir)).select(ROW_ID, "score")
 
 
 VALIDATION = "val as (select * from parts where split = 'validation')"
 
 
 def validation_rows(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return joins.rows_in(df, split.SplitDataset(split.assign_split(df)).validation_ids())
 
 
@@ -748,7 +756,7 @@ NUISANCE = (
 
 
 def nuisance(spark, sf_dir):
-    return meta.surrogate_nuisance(population(spark, sf_dir))
+    return meta.surrogate_nuisance(slim(spark, sf_dir))
 
 
 @query("tlearner_tau", with_pop("select _source_row_id, round(mu1 - mu0, 9) as tau from nuis", NUISANCE))
@@ -793,14 +801,14 @@ def xlearner_combine(spark, sf_dir):
 
 @query("oof_coverage", with_pop("select count(*) filter (where _source_row_id % 50 = 0) as missing, 0::bigint as unexpected, count(*) filter (where _source_row_id % 50 = 1) as repeated, count(*) as rows from pop"))
 def oof_coverage(spark, sf_dir):
-    df = population(spark, sf_dir).select(ROW_ID)
+    df = slim(spark, sf_dir).select(ROW_ID)
     oof = df.where(f"{ROW_ID} % 50 <> 0")
     return meta.oof_coverage(df, oof.union(df.where(f"{ROW_ID} % 50 = 1")))
 
 
 @query("opposite_fold", with_pop("select count(*) filter (where _source_row_id % 7 = 0) as same_fold, count(*) as rows from ab", NUISANCE, AB_SQL))
 def opposite_fold(spark, sf_dir):
-    folds = split.assign_ab(population(spark, sf_dir))
+    folds = split.assign_ab(slim(spark, sf_dir))
     other = F.when(F.col("fold") == "A", "B").otherwise("A")
     return meta.opposite_fold_violations(folds.withColumn("prediction_fold", F.when(F.col(ROW_ID) % 7 == 0, F.col("fold")).otherwise(other)))
 
@@ -815,14 +823,14 @@ def dr_pseudo_outcome(spark, sf_dir):
 
 @query("repeated_seeds", with_pop(" union all ".join(f"select {s}::int as seed, round(avg({uniform_sql(chr(39) + f'random|{s}|' + chr(39) + ' || _source_row_id')}), 9) as mean_score, count(*) as rows from pop" for s in (42, 123, 2026))))
 def repeated_seeds(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     frames = {s: resample.random_scores(df, s).agg(F.avg("score").alias("mean_score"), F.count("*").alias("rows")) for s in (42, 123, 2026)}
     return rounded(meta.with_seed(frames))
 
 
 @query("method_comparison", with_pop("select 'ate' as method, round(p1 - p0, 9) as ate, null::bigint as rows from (select avg(conversion) filter (where treatment = 1) as p1, avg(conversion) filter (where treatment = 0) as p0 from pop) union all select 'rows', null, count(*) from pop"))
 def method_comparison(spark, sf_dir):
-    df = population(spark, sf_dir)
+    df = slim(spark, sf_dir)
     return rounded(meta.comparison({"ate": ranking.ate(df).select("ate"), "rows": df.agg(F.count("*").alias("rows"))})).select("method", "ate", "rows")
 
 
@@ -914,7 +922,7 @@ def row_ordinal(spark, sf_dir):
 
 @query("prefix_limit", with_pop("select _source_row_id, f0 from pop where _source_row_id < 1000"))
 def prefix_limit(spark, sf_dir):
-    return ingest.prefix(population(spark, sf_dir), 1000).select(ROW_ID, "f0")
+    return ingest.prefix(slim(spark, sf_dir), 1000).select(ROW_ID, "f0")
 
 
 @query("projected_scan", with_pop("select _source_row_id, f0, treatment from pop"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +38,15 @@ def safe_cast(raw: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
 
 
 def with_row_ordinal(df: DataFrame) -> DataFrame:
-    """Zero-based dense ordinal in scan order.  Two passes: the sizes of the partitions, then the ids."""
-    schema = T.StructType([*df.schema.fields, T.StructField(ROW_ID, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """Zero-based dense ordinal in scan order.  The engine's own numbers hold the partition and the
+    place in it; one row for each partition turns them into dense ones."""
+    numbered = df.withColumn("_k", F.monotonically_increasing_id())
+    part, place = F.shiftright("_k", 33), F.col("_k").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = numbered.withColumn("_place", place).withColumn("_at", part).join(offsets, F.col("_at") == F.col("_part"))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_place")).alias(ROW_ID))
 
 
 def prefix(df: DataFrame, rows: int) -> DataFrame:

@@ -5,10 +5,12 @@ Treatment and outcomes come from MD5 of the id, so any engine computes identical
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..roles import FEATURES, LABELS, ROW_ID
+from ..roles import AUDIT_ONLY, FEATURES, LABELS, OUTCOME, ROW_ID, SECONDARY, TREATMENT
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
@@ -20,29 +22,37 @@ def _draw(salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.col("o_orderkey").cast("string"))), 1, 8), 16, 10).cast("long")
 
 
-def population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customers = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
-    lines = (
-        read_table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(
-            F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("p"),
-            F.avg("l_discount").alias("d"), F.avg("l_tax").alias("x"), F.max("l_quantity").alias("mx"),
-        )
-    )
-    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+CUSTOMER_FEATURES, LINE_FEATURES = {"f1", "f2"}, {f"f{k}" for k in range(3, 9)}
+
+
+def population(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The view, or some columns of it.  Only the tables that these come from are read and joined: an
+    optimizer cannot know that the outer joins leave the rows of ``orders`` as they are."""
+    wanted = set(columns if columns is not None else (ROW_ID, *FEATURES, *LABELS))
+    joined = read_table(spark, sf_dir, "orders")
+    if wanted & CUSTOMER_FEATURES:
+        joined = joined.join(read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    if wanted & LINE_FEATURES:
+        lines = (
+            read_table(spark, sf_dir, "lineitem")
+            .groupBy("l_orderkey")
+            .agg(
+                F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("p"),
+                F.avg("l_discount").alias("d"), F.avg("l_tax").alias("x"), F.max("l_quantity").alias("mx"),
+            )
+        )
+        joined = joined.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     treated = _draw("t") % 100 < 85
     lift = F.when(treated & (F.col("o_totalprice") > 250000), 90).otherwise(0)
     flag = lambda c: F.when(c, 1).otherwise(0).cast("long")
-    values = [
-        F.col("o_totalprice"), F.col("c_acctbal"), F.col("c_nationkey").cast("double"), F.col("n").cast("double"), F.col("q"),
-        F.round("p", 2), F.round("d", 6), F.round("x", 6), F.col("mx"), F.year("o_orderdate").cast("double"),
-        F.month("o_orderdate").cast("double"), F.substring("o_orderpriority", 1, 1).cast("double"),
-    ]
-    labels = [flag(treated), flag(_draw("y") % 1000 < 60 + lift), flag(_draw("y") % 1000 < 200), flag(treated & (_draw("e") % 100 < 40))]
-    return joined.select(
-        F.col("o_orderkey").alias(ROW_ID), *[v.alias(f) for v, f in zip(values, FEATURES, strict=True)], *[v.alias(c) for v, c in zip(labels, LABELS, strict=True)]
-    )
+    made = {
+        ROW_ID: lambda: F.col("o_orderkey"), "f0": lambda: F.col("o_totalprice"), "f1": lambda: F.col("c_acctbal"), "f2": lambda: F.col("c_nationkey").cast("double"),
+        "f3": lambda: F.col("n").cast("double"), "f4": lambda: F.col("q"), "f5": lambda: F.round("p", 2), "f6": lambda: F.round("d", 6), "f7": lambda: F.round("x", 6), "f8": lambda: F.col("mx"),
+        "f9": lambda: F.year("o_orderdate").cast("double"), "f10": lambda: F.month("o_orderdate").cast("double"), "f11": lambda: F.substring("o_orderpriority", 1, 1).cast("double"),
+        TREATMENT: lambda: flag(treated), OUTCOME: lambda: flag(_draw("y") % 1000 < 60 + lift), SECONDARY: lambda: flag(_draw("y") % 1000 < 200),
+        AUDIT_ONLY: lambda: flag(treated & (_draw("e") % 100 < 40)),
+    }
+    return joined.select(*[make().alias(c) for c, make in made.items() if c in wanted])
 
 
 #: The same view in DuckDB's SQL.
