@@ -169,6 +169,9 @@ def test_quality_rules(spark):
     assert rows[40].n_words == 0 and rows[40].base_failed and rows[42].base_failed and rows[43].kept
     assert rows[44].n_dup_lines == 2 and rows[44].n_symbols == 5
     assert quality_rules.score_documents(frame(spark, [])).count() == 0
+    clean = {r.doc_id: r.text for r in quality_rules.clean_documents(frame(spark, docs)).collect()}
+    assert set(clean) == {i for i, r in rows.items() if r.kept}
+    assert clean[0] == docs[0][1].split("\n")[0] and clean[43] == docs[-2][1]
 
 
 def test_repeated_words():

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, join_checked, materialize, release
 
 #: The six ASCII white space characters and the symbols that are counted.
 WHITE = " \t\n\x0b\x0c\r"
@@ -48,21 +48,21 @@ def repeated_words(words: list) -> int:
     return total
 
 
-def describe(text: str | None) -> tuple[tuple[int, ...], list[tuple[int, int]]]:
-    """Statistics of a whole text, and hash and words of each line that has a word."""
+def describe(text: str | None) -> tuple[tuple[int, ...], list[tuple[int, int, int]]]:
+    """Statistics of a whole text, and hash, words and place of each line that has a word."""
     import xxhash
 
     text = text or ""
     raw = text.encode()
     words = raw.split()
     lines, seen, duplicates = [], set(), 0
-    for line in raw.split(b"\n"):
+    for place, line in enumerate(raw.split(b"\n")):
         parts = line.lower().split()
         if parts:
             duplicates += line in seen
             seen.add(line)
             value = xxhash.xxh64_intdigest(b" ".join(parts))
-            lines.append((value - (value >> 63 << 64), len(parts)))
+            lines.append((value - (value >> 63 << 64), len(parts), place))
     stats = (
         len(words),
         len(text) - sum(map(text.count, WHITE)),
@@ -74,24 +74,25 @@ def describe(text: str | None) -> tuple[tuple[int, ...], list[tuple[int, int]]]:
 
 
 def _describe_batches(batches):
-    line_type = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))
+    line_type = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("p", pa.int32())]))
     for batch in batches:
-        found = [describe(t) for t in batch.column(3).to_pylist()]
-        lines = pa.array([[{"h": h, "w": w} for h, w in x[1]] for x in found], line_type)
+        found = [describe(t) for t in batch.column(4).to_pylist()]
+        lines = pa.array([[{"h": h, "w": w, "p": p} for h, w, p in x[1]] for x in found], line_type)
         stats = [pa.array([x[0][k] for x in found], pa.int64()) for k in range(len(STATS))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *stats, lines], names=["uid", "doc_id", "host", *STATS, "lines"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *stats, lines], names=["uid", "doc_id", "th", "host", *STATS, "lines"])
+    release()
 
 
-def score_documents(
-    docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_kept: float = LEAST_KEPT,
-    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-) -> DataFrame:
-    """``doc_id``, the statistics, ``base_failed``, ``kept`` and ``removed_words`` of every row."""
+def _removals(docs: DataFrame, min_docs: int, share: float, least_kept: float, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """``uid, doc_id, th``, the statistics, the verdicts, ``removed_words`` and the places ``drop`` of
+    the removed lines, of every row."""
+    bound_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
     rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"),
+        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"),
     )
-    schema = "uid long, doc_id long, host string, " + ", ".join(f"{s} long" for s in STATS) + ", lines array<struct<h: long, w: int>>"
+    schema = "uid long, doc_id long, th long, host string, " + ", ".join(f"{s} long" for s in STATS) + ", lines array<struct<h: long, w: int, p: int>>"
     known = materialize(rows.mapInArrow(_describe_batches, schema), "lines")
 
     identity = F.coalesce("doc_id", -1 - F.col("uid"))
@@ -101,11 +102,38 @@ def score_documents(
     frequent = materialize(spread.join(hosts, "host").where(F.col("n") > F.col("most")).select("host", "h"), "frequent")
 
     each = known.select("uid", "host", F.inline("lines"))
-    removed = each.join(frequent, ["host", "h"]).groupBy("uid").agg(F.sum("w").alias("removed_words"))
+    removed = each.join(frequent, ["host", "h"]).groupBy("uid").agg(F.sum("w").alias("removed_words"), F.collect_list("p").alias("drop"))  # the lines of one row
     out = known.drop("lines", "host").join(removed, "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("removed_words")) < F.lit(least_kept) * F.col("n_words")
-    return out.select("doc_id", *STATS, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+
+
+def score_documents(
+    docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_kept: float = LEAST_KEPT,
+    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+) -> DataFrame:
+    """``doc_id``, the statistics, ``base_failed``, ``kept`` and ``removed_words`` of every row."""
+    found = _removals(docs, min_docs, share, least_kept, id_col, text_col, host_col)
+    return found.select("doc_id", *STATS, "base_failed", "kept", "removed_words")
+
+
+def clean_documents(
+    docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_kept: float = LEAST_KEPT,
+    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, without their frequent lines; rows that agree in id, text
+    and host get the same result."""
+    found = _removals(docs, min_docs, share, least_kept, id_col, text_col, host_col)
+    changed = found.where("not kept or drop is not null").groupBy("doc_id", "th").agg(F.bool_and("kept").alias("_kept"), F.first("drop").alias("_drop"))
+    changed = materialize(changed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_kept", "_drop"), "changed")
+    text = F.col(text_col).cast("string")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
+    rows = join_checked(docs, changed, same, "left").where("_kept is null or _kept")
+    parts = F.split(text, "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drop"), lambda i: F.get(parts, i))
+    cleaned = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(left, "\n"))
+    return rows.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same in SQL, for ``documents`` with the columns doc_id, source and text.
