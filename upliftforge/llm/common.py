@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,22 @@ def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner", mos
     return large.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Python stages get Arrow batches of some megabytes, however long the texts are (one text over
+    the bound makes a batch of its own).  A tighter setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9-]", "", spark.conf.get(key)) or -1) not in range(1, most + 1):
+        spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give memory that Arrow holds unused back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def merge_spans(groups: list[tuple[str, list[tuple[int, int]]]]) -> str:
     """``kind:start:end`` of all spans by start, ties in the order of ``groups``, comma-joined."""
     found = sorted((s, k, e, kind) for k, (kind, spans) in enumerate(groups) for s, e in spans)

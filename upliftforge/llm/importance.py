@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import join_checked, materialize
+from .common import join_checked, materialize, release
 
 SEED = 42
 NOISE = 0.1  # scale of the Gumbel noise in units of log weight
@@ -84,6 +84,7 @@ def _score_batches(ratios):
                 [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array([n for n, _ in found], pa.int64()), pa.array(weights, pa.float64())],
                 names=["doc_id", "th", "kind", "fold", "n_words", "log_weight"],
             )
+        release()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import join_checked, materialize
+from .common import join_checked, materialize, release
 
 #: Domains, told by ``labels``: good text, text of low quality, toxic text.
 DOMAINS = ("clean", "low", "toxic")
@@ -88,6 +88,7 @@ def _scores(ratios, n: int):
                 [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(tokens, pa.int64()), *[pa.array([f[k] for f in found], pa.float64()) for k in range(n)]],
                 names=["doc_id", "th", "kind", "fold", "tokens", *(f"s{k}" for k in range(n))],
             )
+        release()
 
     return run
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, release
+
 #: Buckets of a table for words, for longer n-grams, and for the shape of a text.
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 18, 1 << 17
 LEVELS = (0.02, 0.1, 0.3, 0.6)  # shares at which a shape changes
@@ -123,6 +125,7 @@ def _count_batches(classes: int, order: int):
                     documents[row] += n > 0
         flat = counts.reshape(classes + 1, 2 * BUCKETS)
         yield _vectors(np.hstack([flat, documents[:, None]]))
+        release()
 
     return run
 
@@ -144,6 +147,7 @@ def _sum_batches(kind):
 
     def run(batches):
         yield _summed(batches, kind)
+        release()
 
     return run
 
@@ -166,6 +170,7 @@ def gram_counts(docs: DataFrame, sample: DataFrame, classes: int, order: int = 2
     by the buckets of both tables; the last column has the number of documents.  One pass; what
     reaches the driver has a fixed size."""
     spark, schema = docs.sparkSession, "row int, chunk int, counts binary"
+    bound_batches(spark)
     fit = sample.where("fold = 0").select("doc_id", "kind")
     known = docs.join(F.broadcast(fit), "doc_id", "left").select("text", "kind")
     vectors = known.mapInArrow(_count_batches(classes, order), schema)

@@ -7,9 +7,9 @@ automaton proposes the pieces that end there, and the piece that is compatible w
 of the prefix before it is the one.  The ids are then read from the table backwards.  This takes
 time linear in the text, whatever its length.
 
-No piece holds the space mark after another character, so no token crosses from a character to a
-following space mark; texts are cut there and the parts are encoded once and kept in a bounded
-memo per worker.
+Two characters that stand side by side in no piece are never in one token.  So texts are cut before
+space marks, around control characters, and between a letter or digit and a punctuation mark, as far
+as the pieces allow it, and the parts are encoded once and kept in a bounded memo per worker.
 
 Row-wise (one map stage, no shuffle).  A null text counts as empty, whose ids are begin and end
 alone.  Repeated rows give repeated results, extra columns are ignored, an empty table gives an
@@ -19,12 +19,16 @@ empty result.  The special strings of the model (such as ``<s>``) inside a text
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import string
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bound_batches, release
+
 MARK = "▁"  # stands for a space inside pieces
 REPLACEMENT = "�".encode()
 
@@ -58,11 +62,14 @@ class PrefixTableCodec:
         self.alone: dict[int, bool] = {}  # does a piece's own text encode to it
         self.pairs: dict[int, bool] = {}
         self.memo = _Memo(self, memo_entries, memo_chars)
-        self.pair_entries = 4 * memo_entries
+        self.pair_entries = memo_entries
         joined = {c for p in self.id if len(p) > 1 for c in p}
         lone = "".join(c for c in "\n\t\r" if c not in joined)
         cut = all(MARK not in p.lstrip(MARK) for p in self.id)
-        self.parts = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+|[{lone or MARK}]" if cut else r"(?s:.+)")
+        joins = {b for p in self.id for a, b in itertools.pairwise(p) if a.isalnum()}
+        ends = "".join(re.escape(c) for c in string.punctuation if c not in joins)
+        word = f"{MARK}*+[^\\W_]++(?=[{ends}])|" if ends else ""
+        self.parts = re.compile(f"{word}{MARK}*[^{MARK}{lone}]+|{MARK}+|[{lone or MARK}]" if cut else r"(?s:.+)")
         # decoding
         self.byte_of = byte_of
         self.bytes = [b"" if i in special else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
@@ -240,7 +247,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             if with_ids:
                 columns += [pa.array(ids, pa.binary()), pa.array([t.decode() for t in texts], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        codec.memo.clear()  # the worker may serve other stages next
+        release()
 
+    bound_batches(spark)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * with_ids]]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import merge_spans
+from .common import bound_batches, merge_spans, release
 
 BASE_KINDS = ("assign", "access", "hex")
 CONFIRMED_KINDS = ("pem", "key_b64", "key_hex", "signed_token")
@@ -188,9 +188,11 @@ def _scan_batches(batches):
             ],
             names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"],
         )
+    release()
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with the counts and spans of all secrets in its whole text."""
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(_scan_batches, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize
+from .common import bound_batches, join_checked, materialize, release
 from .components import components
 
 BITS = 64
@@ -64,6 +64,7 @@ def _fingerprints(words: int, seed: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "th"]
             )
+        release()
 
     return run
 
@@ -198,6 +199,7 @@ def near_duplicates(
     component's id is the least ``doc_id`` in it (null if no member has one); ``is_first`` marks the
     rows with the least id and then hash ``th`` of the text."""
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
+    bound_batches(docs.sparkSession)
     hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("th"))
     prints = materialize(hashed.mapInArrow(_fingerprints(words, seed), "doc_id long, fp long, th long"), "prints")
     place = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "th")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches, release
+
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 NORMAL_FORM = "ascii-space-case/1"
 SPECIAL = "<|"
@@ -120,7 +122,10 @@ def count_tokens(
         for batch in batches:
             counts = counter.counts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts)), batch.column(0), pa.array(counts, pa.int64())], names=["version", "digest", "n_tokens"])
+        counter.memo.clear()  # the worker may serve other stages next
+        release()
 
+    bound_batches(spark)
     misses = keyed.groupBy("digest").agg(F.first("form").alias("form"))
     if _exists(spark, cache_path):
         stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version)
