@@ -72,8 +72,9 @@ def _later(runs: DataFrame, ranks: DataFrame, h: int) -> DataFrame:
         second = ranks.select("d", F.col("pos").alias("t"), F.col("r").alias("b"))
         keyed = here.join(first, ["d", "s"]).withColumn("t", F.col("s") + F.col("len") - h).join(second, ["d", "t"])
     place = F.struct("d", "s")
-    least = keyed.groupBy("a", "b", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(least, ["a", "b", "len"]).where(place > F.col("first")).select("d", "s", "len")
+    # Written before it is joined, so that a class with very many members can be split.
+    least = materialize(keyed.groupBy("a", "b", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "intervals")
+    return join_checked(keyed, least, ["a", "b", "len"]).where(place > F.col("first")).select("d", "s", "len")
 
 
 def _doubled(ranks: DataFrame, h: int) -> DataFrame | None:
