@@ -1,8 +1,8 @@
 """Connected components of a graph given as a table of links, without a driver-side structure.
 
 Alternating large-star and small-star rounds.  Each round takes the least neighbour of every node
-with a pre-aggregated minimum and joins it back, so a node with very many links is never gathered
-in one task (the join can be split by the engine where it is skewed).
+with a pre-aggregated minimum, writes it, and joins it back.  A join of two tables, unlike one with an
+aggregate, can be split where it is skewed, so a node with very many links is gathered nowhere.
 """
 
 from __future__ import annotations
@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, join_checked, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Larger neighbours of each node move to its least neighbour."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return join_checked(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Smaller neighbours of each node and the node itself move to the least of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialize(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = join_checked(links, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -40,8 +40,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        following = materialize(_small_star(_large_star(current)).distinct(), "links")
+        large = materialize(_large_star(current), "links")
+        following = materialize(_small_star(large).distinct(), "links")
         discard(current)
+        discard(large)
         current, before, mark = following, mark, _mark(following)
         if mark == before:
             break
