@@ -57,9 +57,12 @@ def discard(df: DataFrame) -> None:
 BROADCAST_ROWS = 1_000_000
 
 
-def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner", most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a table with a written one, which is broadcast only if it has ``most_rows`` at most."""
-    return large.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner", most_rows: int = BROADCAST_ROWS, listed: str | None = None) -> DataFrame:
+    """Join a table with a written one, which is broadcast only if it has ``most_rows`` at most.  With
+    ``listed``, an array column, eight of its elements count as a row."""
+    weight = F.lit(1) if listed is None else 1 + F.coalesce(F.size(listed), F.lit(0)) / 8
+    rows = small.agg(F.sum(weight)).first()[0] or 0
+    return large.join(F.broadcast(small) if rows <= most_rows else small, on, how)
 
 
 BATCH_BYTES = 4 << 20

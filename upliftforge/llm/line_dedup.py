@@ -132,7 +132,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     slim = docs.select(*[c.alias(k) for k, c in key.items()]).withColumn("th", F.xxhash64("text")).where("text is not null")
     drop = repeated_lines(slim, min_words).select(F.col("doc_id").alias("_drop_id"), F.col("th").alias("_drop_th"), F.col("drop").alias("_drop"))
     on = key["doc_id"].eqNullSafe(F.col("_drop_id")) & (F.xxhash64(key["text"]) == F.col("_drop_th"))
-    joined = join_checked(docs, drop, on, "left")
+    joined = join_checked(docs, drop, on, "left", listed="_drop")
     parts = F.split(key["text"], "\n")
     lost = F.coalesce(F.size("_drop"), F.lit(0))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drop"), lambda i: F.get(parts, i))

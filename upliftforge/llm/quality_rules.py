@@ -129,7 +129,7 @@ def clean_documents(
     changed = materialize(changed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_kept", "_drop"), "changed")
     text = F.col(text_col).cast("string")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
-    rows = join_checked(docs, changed, same, "left").where("_kept is null or _kept")
+    rows = join_checked(docs, changed, same, "left", listed="_drop").where("_kept is null or _kept")
     parts = F.split(text, "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drop"), lambda i: F.get(parts, i))
     cleaned = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(left, "\n"))
