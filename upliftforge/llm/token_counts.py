@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release
+from .common import bound_batches, materialize, release
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 NORMAL_FORM = "ascii-space-case/1"
@@ -133,6 +133,8 @@ def count_tokens(
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version)
-    counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have appended the same text
+    # Two runs may have appended the same text.  Written before it is joined, so that a text with very
+    # many copies can be split.
+    counts = materialize(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     out = keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
