@@ -717,7 +717,7 @@ def random_reference(spark, sf_dir):
 
 BOOT_SQL = (
     "placed as (select *, row_number() over (partition by treatment order by _source_row_id) as place, count(*) over (partition by treatment) as arm_n from val), "
-    f"picks as (select draw::int as draw, treatment, 1 + cast(floor({uniform_sql(chr(39) + 'boot|42|' + chr(39) + ' || draw || ' + chr(39) + '|' + chr(39) + ' || treatment || ' + chr(39) + '|' + chr(39) + ' || place')} * arm_n) as bigint) as place from placed, (select unnest(range(0, 50)) as draw)), "
+    f"picks as (select draw::int as draw, treatment, 1 + cast(floor({uniform_sql(chr(39) + 'boot|42|' + chr(39) + ' || draw || ' + chr(39) + '|' + chr(39) + ' || treatment || ' + chr(39) + '|' + chr(39) + ' || place')} * arm_n) as bigint) as place from placed, (select unnest(range(0, 500)) as draw)), "
     "scored as (select draw, p._source_row_id * 64 + row_number() over (partition by draw, p._source_row_id) as _source_row_id, p.treatment, conversion, f0 as score from picks k join placed p on p.treatment = k.treatment and p.place = k.place)"
 )
 
@@ -735,16 +735,15 @@ BOOT_SQL = (
     ),
 )
 def bootstrap_qini(spark, sf_dir):
-    """Fifty draws; the operator's default is 500."""
     rows = validation_rows(spark, sf_dir).withColumn("score", F.col("f0")).select(ROW_ID, TREATMENT, OUTCOME, "score")
-    return rounded(resample.bootstrap_qini(rows, draws=50), 6)
+    return rounded(resample.bootstrap_qini(rows), 6)
 
 
 @query("bootstrap_interval", with_pop(
     "select count(*) as finite, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from (select round(qini_area - theoretical_random, 6) as v from summary)",
     STRATA_SQL, VALIDATION, BOOT_SQL, prefix_sql("scored", "score", "draw"), curve_sql("draw"), summary_sql("draw")))
 def bootstrap_interval(spark, sf_dir):
-    return rounded(resample.percentile_interval(bootstrap_qini(spark, sf_dir), expected=50), 6)
+    return rounded(resample.percentile_interval(bootstrap_qini(spark, sf_dir)), 6)
 
 
 # Meta-learner algebra over fixed surrogate surfaces
@@ -834,9 +833,9 @@ def method_comparison(spark, sf_dir):
     return rounded(meta.comparison({"ate": ranking.ate(df).select("ate"), "rows": df.agg(F.count("*").alias("rows"))})).select("method", "ate", "rows")
 
 
-# Calibration against a null distribution made of hash uniforms
+# Calibration against a null distribution of a thousand replications, made of hash uniforms
 
-NULLS = f"nulls as (select {uniform_sql(chr(39) + 'null|0|' + chr(39) + ' || _source_row_id')} as value from pop where _source_row_id < 1000)"
+NULLS = f"nulls as (select {uniform_sql(chr(39) + 'null|0|' + chr(39) + ' || i')} as value from (select unnest(range(0, 1000)) as i))"
 
 
 def null_values(spark):
