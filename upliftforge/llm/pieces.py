@@ -22,6 +22,7 @@ import hashlib
 import itertools
 import re
 import string
+from array import array
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -31,12 +32,13 @@ from .common import bound_batches, release
 
 MARK = "▁"  # stands for a space inside pieces
 REPLACEMENT = "�".encode()
+PAIR_SLOTS = 1 << 21  # sixteen megabytes
 
 
 class PrefixTableCodec:
     """Encoder and decoder for a merge-type model given as the bytes of its file."""
 
-    def __init__(self, model: bytes, memo_entries: int = 300_000, memo_chars: int = 48):
+    def __init__(self, model: bytes, memo_entries: int = 250_000, memo_chars: int = 48):
         import ahocorasick
         import sentencepiece
 
@@ -60,9 +62,9 @@ class PrefixTableCodec:
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.alone: dict[int, bool] = {}  # does a piece's own text encode to it
-        self.pairs: dict[int, bool] = {}
+        # Tested pairs: each slot has one pair and its verdict, and the next pair of that slot replaces it.
+        self.pairs = array("q", [-(1 << 62)]) * PAIR_SLOTS
         self.memo = _Memo(self, memo_entries, memo_chars)
-        self.pair_entries = memo_entries
         joined = {c for p in self.id if len(p) > 1 for c in p}
         lone = "".join(c for c in "\n\t\r" if c not in joined)
         cut = all(MARK not in p.lstrip(MARK) for p in self.id)
@@ -108,12 +110,13 @@ class PrefixTableCodec:
         if first < 0:
             return self._is_alone(second)
         key = first * len(self.piece) + second
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= self.pair_entries:
-                self.pairs.clear()
-            a, b = self.piece[first], self.piece[second]
-            found = self.pairs[key] = self._merge(a + b) == [a, b]
+        slot = key * 0x9E3779B1 >> 8 & PAIR_SLOTS - 1
+        known = self.pairs[slot]
+        if known >> 1 == key:
+            return known & 1
+        a, b = self.piece[first], self.piece[second]
+        found = self._merge(a + b) == [a, b]
+        self.pairs[slot] = key << 1 | found
         return found
 
     def encode_part(self, text: str) -> list[int]:
@@ -124,13 +127,22 @@ class PrefixTableCodec:
             for k, c in enumerate(text, 1):
                 if c not in self.chars:
                     last[k], size[k] = -ord(c) - 1, 1
-        fits, alone = self._fits, self._is_alone
+        pairs, width, mask = self.pairs, len(self.piece), PAIR_SLOTS - 1
         for end, (token, length) in self.automaton.iter(text):
-            if size[end + 1]:
+            end += 1
+            if size[end]:
+                continue
+            before = end - length
+            if before:
+                if not size[before]:
+                    continue
+                key = last[before] * width + token
+                known = pairs[key * 0x9E3779B1 >> 8 & mask]  # most pairs have been tested before
+                if not (known & 1 if known >> 1 == key else self._fits(last[before], token)):
+                    continue
+            elif not self._is_alone(token):
                 continue
-            before = end + 1 - length
-            if fits(last[before], token) if before and size[before] else not before and alone(token):
-                last[end + 1], size[end + 1] = token, length
+            last[end], size[end] = token, length
         ids, at = [], n
         while at:
             token = last[at]
@@ -196,16 +208,20 @@ class PrefixTableCodec:
 
 
 class _Memo(dict):
-    """Encoded parts; emptied when full, and parts over a length are never kept."""
+    """Encoded parts in two generations of a bounded size: a full one becomes the old one, and what is
+    asked for again moves back.  Parts over a length are never kept."""
 
     def __init__(self, codec: PrefixTableCodec, entries: int, chars: int):
         super().__init__()
-        self.codec, self.entries, self.chars = codec, entries, chars
+        self.codec, self.entries, self.chars, self.old = codec, entries, chars, {}
 
     def __missing__(self, part: str) -> bytes:
-        packed = _packed(self.codec.encode_part(part))
+        packed = self.old.get(part)
+        if packed is None:
+            packed = _packed(self.codec.encode_part(part))
         if len(part) <= self.chars:
             if len(self) >= self.entries:
+                self.old = dict(self)
                 self.clear()
             self[part] = packed
         return packed
@@ -247,7 +263,6 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             if with_ids:
                 columns += [pa.array(ids, pa.binary()), pa.array([t.decode() for t in texts], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        codec.memo.clear()  # the worker may serve other stages next
         release()
 
     bound_batches(spark)
