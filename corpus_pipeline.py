@@ -44,8 +44,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, with digests of the ids and of the text decoded from them."""
-    return encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=True).drop("decoded")
+    """Ids of every document, with digests of the ids and of the text decoded from them.  The memo is
+    smaller than by default, because the executors have the memory of earlier stages to bear."""
+    return encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=True, memo_entries=80_000).drop("decoded")
 
 
 STAGES = [

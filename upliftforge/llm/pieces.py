@@ -33,12 +33,13 @@ from .common import bound_batches, release
 MARK = "▁"  # stands for a space inside pieces
 REPLACEMENT = "�".encode()
 PAIR_SLOTS = 1 << 21  # sixteen megabytes
+MEMO_ENTRIES = 250_000
 
 
 class PrefixTableCodec:
     """Encoder and decoder for a merge-type model given as the bytes of its file."""
 
-    def __init__(self, model: bytes, memo_entries: int = 250_000, memo_chars: int = 48):
+    def __init__(self, model: bytes, memo_entries: int = MEMO_ENTRIES, memo_chars: int = 48):
         import ahocorasick
         import sentencepiece
 
@@ -231,26 +232,29 @@ def _packed(ids: list[int]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
-#: Codecs of this worker by the digest of their model.
-_CODECS: dict[str, PrefixTableCodec] = {}
+#: Codecs of this worker by the digest of their model and the size of their memo.
+_CODECS: dict[tuple[str, int], PrefixTableCodec] = {}
 
 
-def _codec(model: bytes) -> PrefixTableCodec:
-    key = hashlib.sha256(model).hexdigest()
+def _codec(model: bytes, memo_entries: int) -> PrefixTableCodec:
+    key = hashlib.sha256(model).hexdigest(), memo_entries
     if key not in _CODECS:
-        _CODECS[key] = PrefixTableCodec(model)
+        _CODECS[key] = PrefixTableCodec(model, memo_entries)
     return _CODECS[key]
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo_entries: int = MEMO_ENTRIES
+) -> DataFrame:
     """Encode every whole text with begin and end ids and decode it again: ``doc_id, n_tokens,
-    ids_sha256, decoded_sha256`` and, if asked for, the packed ``ids`` and the ``decoded`` text."""
+    ids_sha256, decoded_sha256`` and, if asked for, the packed ``ids`` and the ``decoded`` text.  A
+    worker's memo holds at most twice ``memo_entries`` parts, about 200 bytes each."""
     spark = docs.sparkSession
     with open(model_path, "rb") as file:  # a fixed file of the installation, under a megabyte
         model = spark.sparkContext.broadcast(file.read())
 
     def run(batches):
-        codec = _codec(model.value)
+        codec = _codec(model.value, memo_entries)
         for batch in batches:
             n, ids, texts = [], [], []
             for text in batch.column(1).to_pylist():
