@@ -68,6 +68,16 @@ def test_structural_confirmation():
     assert "key_b64" not in kinds(base64.b64encode(ssh[:-1]).decode())
 
 
+def test_key_after_an_equals_sign():
+    der = bytes([0x30, 0x81, 0x8A, 0x02, 0x01, 0x00, *([0x02, 0x0D, *range(1, 14)] * 9)])
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"pub" * 8, b"priv" * 8))
+    for key in (der, ssh):
+        body = base64.b64encode(key).decode()
+        for before in ("PRIVATE_KEY=", "KEY==", 'KEY="', "k: "):
+            assert dict(secrets.scan(f"x {before}{body} y"))["key_b64"] == [(2 + len(before), 2 + len(before) + len(body))]
+        assert dict(secrets.scan(f"KEY={base64.b64encode(key[:-1]).decode()}"))["key_b64"] == []
+
+
 def brute_pii(text):
     text = text or ""
     luhn = lambda d: sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0

@@ -34,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 #: A DER sequence starts with byte 0x30, in base64 with M; OpenSSH containers with their magic.
-KEY_B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{47,}={0,2}")
+KEY_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{47,}={0,2}")
 KEY_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
