@@ -154,6 +154,18 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(frame(spark, docs)).columns == [*SCHEMA.names, "n_lines", "n_deleted"]
 
 
+def test_line_dedup_counts_words_not_spaces(spark):
+    tabs = "\t".join(prose(random.Random(9), 50).split())
+    mixed = "\n".join("\x0b".join(prose(random.Random(k), 5).split()) + "\t " + prose(random.Random(50 + k), 5) for k in range(4))
+    padded = "total" + " " * 60 + "sum"
+    short = "\t".join(prose(random.Random(10), 39).split())
+    parts = [tabs, mixed, padded, short]
+    docs = [(2 * d + k, f"alone {d} {k}\n{part}\nend {d} {k}", "s") for d, part in enumerate(parts) for k in (0, 1)]
+    rows = line_dedup.dedup_lines(frame(spark, docs)).orderBy("doc_id").collect()
+    assert [r.n_deleted for r in rows] == [0, 1, 0, 4, 0, 0, 0, 0]
+    assert [r.text for r in rows] == [f"alone {d} 1\nend {d} 1" if k and d < 2 else docs[2 * d + k][1] for d in range(4) for k in (0, 1)]
+
+
 # Quality rules
 
 

@@ -32,6 +32,7 @@ from .common import discard, join_checked, materialize
 
 MIN_WORDS = 40
 BLANKS = " \t\r\f\x0b"
+WORD = r"[^\x20\x09-\x0D]+"
 KEY = ["doc_id", "th"]
 
 
@@ -41,7 +42,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     full = F.filter(split, lambda x: x["line"] != "")
     rows = docs.select(*KEY, F.posexplode(full).alias("pos", "x"))
     line = F.col("x.line")
-    words = (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).cast("int")
+    words = F.size(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
     return rows.select(*KEY, "pos", F.col("x.p").alias("p"), words.alias("w"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"))
 
 
