@@ -6,7 +6,7 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
@@ -26,7 +26,10 @@ def tokenizer_path(name: str) -> str:
 
 def store_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_STORE).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    return (named or LOCAL_STORE).rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -44,6 +47,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that :func:`materialize` wrote and that no later plan reads."""
     path = getattr(df, "_store_path", None)
@@ -53,16 +67,26 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: A side of this many rows of a few numbers takes some ten megabytes; beyond it a join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A side of so many bytes at most may be broadcast; beyond it the join is shuffled.
+BROADCAST_BYTES = 8 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: eight bytes a field, and the contents of strings and arrays."""
+    sizes = [F.lit(8 * len(df.columns) + 16)]
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif kind.startswith("array"):
+            sizes.append(8 * F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)))
+    return sum(sizes[1:], sizes[0])
 
 
-def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner", most_rows: int = BROADCAST_ROWS, listed: str | None = None) -> DataFrame:
-    """Join a table with a written one, which is broadcast only if it has ``most_rows`` at most.  With
-    ``listed``, an array column, eight of its elements count as a row."""
-    weight = F.lit(1) if listed is None else 1 + F.coalesce(F.size(listed), F.lit(0)) / 8
-    rows = small.agg(F.sum(weight)).first()[0] or 0
-    return large.join(F.broadcast(small) if rows <= most_rows else small, on, how)
+def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a table with a written one, which is broadcast only if it takes ``most_bytes`` at most."""
+    taken = small.agg(F.sum(row_bytes(small))).first()[0] or 0
+    return large.join(F.broadcast(small) if taken <= most_bytes else small, on, how)
 
 
 BATCH_BYTES = 4 << 20

@@ -19,7 +19,7 @@ Groups are only ever counted or reduced to their least member, before the shuffl
 stands in a third of all documents gathers nowhere.  Only tables whose row count has been checked
 are broadcast; beyond the bound the same join is shuffled.
 
-A null text has no lines and stays null; rows that agree in doc_id and text are one document and get
+Extra columns are kept, whatever their names.  A null text has no lines and stays null; rows that agree in doc_id and text are one document and get
 the same result; rows without doc_id come before others.  An empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_checked, materialize
+from .common import discard, fresh, join_checked, materialize
 
 MIN_WORDS = 40
 BLANKS = " \t\r\f\x0b"
@@ -126,21 +126,24 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return materialize(gone.join(order, "d").select(*KEY, "drop"), "drop")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", deleted_col: str = "n_deleted"
+) -> DataFrame:
     """All columns of ``docs`` with the repeated lines taken out of the text, and ``n_lines`` and
-    ``n_deleted``, the non-blank lines it had and lost."""
-    key = {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}
+    ``n_deleted``, the non-blank lines it had and lost, which replace columns of these names."""
+    key = {"doc_id": F.col(f"`{id_col}`").cast("long"), "text": F.col(f"`{text_col}`").cast("string")}
     slim = docs.select(*[c.alias(k) for k, c in key.items()]).withColumn("th", F.xxhash64("text")).where("text is not null")
-    drop = repeated_lines(slim, min_words).select(F.col("doc_id").alias("_drop_id"), F.col("th").alias("_drop_th"), F.col("drop").alias("_drop"))
-    on = key["doc_id"].eqNullSafe(F.col("_drop_id")) & (F.xxhash64(key["text"]) == F.col("_drop_th"))
-    joined = join_checked(docs, drop, on, "left", listed="_drop")
+    i, h, gone = fresh(docs, "drop_id", "drop_th", "drop")
+    drop = repeated_lines(slim, min_words).select(F.col("doc_id").alias(i), F.col("th").alias(h), F.col("drop").alias(gone))
+    on = key["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(key["text"]) == F.col(h))
+    joined = join_checked(docs, drop, on, "left")
     parts = F.split(key["text"], "\n")
-    lost = F.coalesce(F.size("_drop"), F.lit(0))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drop"), lambda i: F.get(parts, i))
-    text = F.when(F.col("_drop").isNull(), key["text"]).otherwise(F.array_join(kept, "\n"))
+    lost = F.coalesce(F.greatest(F.size(gone), F.lit(0)), F.lit(0))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i))
+    text = F.when(F.col(gone).isNull(), key["text"]).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(BLANKS)) != "")), F.lit(0))
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), lost.cast("long").alias("n_deleted"))
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in (lines_col, deleted_col)]
+    return joined.select(*columns, n_lines.cast("long").alias(lines_col), lost.cast("long").alias(deleted_col))
 
 
 #: The same in SQL for ``documents``, where doc_id has no repeats: all runs that just reach the
@@ -152,8 +155,7 @@ with raw as (
   select doc_id, p, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) as line,
     row_number() over (partition by doc_id order by p) as pos from raw where trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) <> ''
 ), sums as (
-  select *, len(line) - len(replace(line, ' ', '')) + 1 as w,
-    sum(len(line) - len(replace(line, ' ', '')) + 1) over (partition by doc_id order by pos) as upto from lines
+  select *, sum(w) over (partition by doc_id order by pos) as upto from (select *, len(regexp_extract_all(line, '{WORD}')) as w from lines)
 ), starts as (
   select a.doc_id, a.pos as s, min(b.pos) as e from sums a join sums b on a.doc_id = b.doc_id and b.pos >= a.pos and b.upto - a.upto + a.w >= {MIN_WORDS}
   group by a.doc_id, a.pos

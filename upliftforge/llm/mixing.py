@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import join_checked, materialize, release
+from .common import fresh, join_checked, materialize, release
 
 #: Domains, told by ``labels``: good text, text of low quality, toxic text.
 DOMAINS = ("clean", "low", "toxic")
@@ -169,9 +169,10 @@ def mix(
 
 def emit_copies(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` as often as :func:`mix` says, with all their columns."""
-    changed = rated.where("copies <> 1").select(F.col("doc_id").alias("_mixed"), F.col("th").alias("_th"), F.col("copies").alias("_copies")).distinct()
+    i, h, n = fresh(docs, "mixed", "th", "copies")
+    changed = rated.where("copies <> 1").select(F.col("doc_id").alias(i), F.col("th").alias(h), F.col("copies").alias(n)).distinct()
     changed = materialize(changed, "copies")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_mixed")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_th"))
+    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(h))
     joined = join_checked(docs, changed, on, "left")
-    times = F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int"))
-    return joined.withColumn("_copy", F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = F.array_repeat(F.lit(0), F.coalesce(n, F.lit(1)).cast("int"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(times).alias(n)).drop(n)

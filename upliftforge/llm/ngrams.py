@@ -169,17 +169,24 @@ def gram_counts(docs: DataFrame, sample: DataFrame, classes: int, order: int = 2
     """Documents with each n-gram among all ``docs`` (row 0) and in each class of the sample's fold 0,
     by the buckets of both tables; the last column has the number of documents.  One pass; what
     reaches the driver has a fixed size."""
-    spark, schema = docs.sparkSession, "row int, chunk int, counts binary"
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     fit = sample.where("fold = 0").select("doc_id", "kind")
     known = docs.join(F.broadcast(fit), "doc_id", "left").select("text", "kind")
-    vectors = known.mapInArrow(_count_batches(classes, order), schema)
+    return sum_vectors(known.mapInArrow(_count_batches(classes, order), VECTORS), classes + 1, 2 * BUCKETS + 1)
+
+
+VECTORS = "row int, chunk int, counts binary"
+
+
+def sum_vectors(vectors: DataFrame, rows: int, width: int) -> np.ndarray:
+    """The sum of count vectors that tasks give in chunks (:func:`_vectors`), added up in two steps."""
+    spark = vectors.sparkSession
     salted = vectors.withColumn("salt", F.spark_partition_id() % 16)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    once = salted.repartition(parts, "row", "chunk", "salt").drop("salt").mapInArrow(_sum_batches(np.int32), schema)
-    twice = once.repartition(parts, "row", "chunk").mapInArrow(_sum_batches(np.int64), schema)
-    counts = np.zeros((classes + 1, 2 * BUCKETS + 1), np.int64)
-    for r in twice.collect():  # (classes + 1) * 2 * BUCKETS numbers
+    once = salted.repartition(parts, "row", "chunk", "salt").drop("salt").mapInArrow(_sum_batches(np.int32), VECTORS)
+    twice = once.repartition(parts, "row", "chunk").mapInArrow(_sum_batches(np.int64), VECTORS)
+    counts = np.zeros((rows, width), np.int64)
+    for r in twice.collect():  # rows * width numbers
         own = np.frombuffer(bytes(r["counts"]), np.int64)
         counts[r["row"], r["chunk"] : r["chunk"] + len(own)] += own
     return counts

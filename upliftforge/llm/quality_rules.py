@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, join_checked, materialize, release
+from .common import bound_batches, fresh, join_checked, materialize, release
 
 #: The six ASCII white space characters and the symbols that are counted.
 WHITE = " \t\n\x0b\x0c\r"
@@ -98,8 +98,8 @@ def _removals(docs: DataFrame, min_docs: int, share: float, least_kept: float, i
     identity = F.coalesce("doc_id", -1 - F.col("uid"))
     hashes = known.select("host", identity.alias("d"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     spread = hashes.groupBy("host", "h").agg(F.count_distinct("d").alias("n")).where(F.col("n") > min_docs)
-    hosts = known.select("host", identity.alias("d")).groupBy("host").agg((F.count_distinct("d") * F.lit(share)).alias("most"))
-    frequent = materialize(spread.join(hosts, "host").where(F.col("n") > F.col("most")).select("host", "h"), "frequent")
+    hosts = materialize(known.select("host", identity.alias("d")).groupBy("host").agg((F.count_distinct("d") * F.lit(share)).alias("most")), "hosts")
+    frequent = materialize(join_checked(spread, hosts, "host").where(F.col("n") > F.col("most")).select("host", "h"), "frequent")
 
     each = known.select("uid", "host", F.inline("lines"))
     removed = each.join(frequent, ["host", "h"]).groupBy("uid").agg(F.sum("w").alias("removed_words"), F.collect_list("p").alias("drop"))  # the lines of one row
@@ -125,14 +125,15 @@ def clean_documents(
     """The rows of ``docs`` that are kept, without their frequent lines; rows that agree in id, text
     and host get the same result."""
     found = _removals(docs, min_docs, share, least_kept, id_col, text_col, host_col)
-    changed = found.where("not kept or drop is not null").groupBy("doc_id", "th").agg(F.bool_and("kept").alias("_kept"), F.first("drop").alias("_drop"))
-    changed = materialize(changed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_kept", "_drop"), "changed")
-    text = F.col(text_col).cast("string")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
-    rows = join_checked(docs, changed, same, "left", listed="_drop").where("_kept is null or _kept")
+    i, h, k, gone = fresh(docs, "id", "th", "kept", "drop")
+    changed = found.where("not kept or drop is not null").groupBy("doc_id", "th").agg(F.bool_and("kept").alias(k), F.first("drop").alias(gone))
+    changed = materialize(changed.select(F.col("doc_id").alias(i), F.col("th").alias(h), k, gone), "changed")
+    text = F.col(f"`{text_col}`").cast("string")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h))
+    rows = join_checked(docs, changed, same, "left").where(F.col(k).isNull() | F.col(k))
     parts = F.split(text, "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drop"), lambda i: F.get(parts, i))
-    cleaned = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(left, "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i))
+    cleaned = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(left, "\n"))
     return rows.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 

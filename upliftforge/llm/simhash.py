@@ -11,7 +11,7 @@ pair only a spanning forest of its links is emitted.
 
 Equal fingerprints are reduced to one before all this.  Null texts count as empty; texts without a
 word have fingerprint zero and link like any other.  Repeated rows share a component, extra
-columns are ignored, an empty table gives an empty result.
+columns are ignored by the search and kept by :func:`keep_first`, whatever their names, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, join_checked, materialize, release
+from .common import bound_batches, fresh, join_checked, materialize, release
 from .components import components
 
 BITS = 64
@@ -206,9 +206,10 @@ def near_duplicates(
     nodes = materialize(prints.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")), "nodes")
     roots = materialize(components(link_forest(nodes, radius, tile)), "roots")
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    whole = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("component_size"))
-    named = rooted.select("fp", "root").join(whole, "root").select("fp", "first", "component_size")
-    out = prints.join(named, "fp")
+    # Both written before they are joined, so that a giant component or group of copies can be split.
+    whole = materialize(rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("component_size")), "components")
+    named = materialize(join_checked(rooted.select("fp", "root"), whole, "root").select("fp", "first", "component_size"), "named")
+    out = join_checked(prints, named, "fp")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
     fingerprint_hex = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return out.select("doc_id", fingerprint_hex, F.col("first.doc_id").alias("component_id"), "component_size", "th", is_first.alias("is_first"))
@@ -216,9 +217,10 @@ def near_duplicates(
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component of :func:`near_duplicates`, with all its columns."""
-    key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
-    names = [F.col("doc_id").alias("_id"), F.col("th").alias("_th")]
-    match = key[0].eqNullSafe(F.col("_id")) & (key[1] == F.col("_th"))
+    i, h = fresh(docs, "id", "th")
+    key = [F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))]
+    names = [F.col("doc_id").alias(i), F.col("th").alias(h)]
+    match = key[0].eqNullSafe(F.col(i)) & (key[1] == F.col(h))
     others = materialize(found.where("not is_first").select(*names).distinct(), "others")
     kept = join_checked(docs, others, match, "left_anti")
     repeated = materialize(found.where("is_first").groupBy("doc_id", "th").count().where("count > 1").select(*names), "repeated")
