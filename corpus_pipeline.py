@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upliftforge.llm import importance, line_dedup, mixing, simhash
-from upliftforge.llm.common import materialize, table, tokenizer_path
+from upliftforge.llm.common import fresh, materialize, table, tokenizer_path
 from upliftforge.llm.pieces import encode_documents
 
 #: Token shares by domain relative to the clean text, which stays whole.  A share covers what the
@@ -26,10 +26,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents of which nothing is left."""
-    deduped = line_dedup.dedup_lines(docs).where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
+    n_lines, n_deleted = fresh(docs, "n_lines", "n_deleted")
+    deduped = line_dedup.dedup_lines(docs, lines_col=n_lines, deleted_col=n_deleted)
+    deduped = deduped.where((F.col(n_deleted) == 0) | (F.col(n_deleted) < F.col(n_lines)))
     if "n_chars" in docs.columns:
         deduped = deduped.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return deduped.select(*docs.columns)
+    return deduped.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
