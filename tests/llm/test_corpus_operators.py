@@ -379,22 +379,46 @@ def test_rates_match_a_dense_solver(spark):
     tokens = rnd.integers(5, 200, 300)
     members = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p, strict=True)], "tokens long, p0 double, p1 double, p2 double")
     shares = [0.5, 0.3, 0.2]
-    steps = mixing.fit_rates(members, shares)
+    fit = mixing.fit_rates(members, shares)
+    steps = fit.steps
+    assert fit.reason in ("matched", "bounds")
     rates = np.array([r[0] for r in members.select(mixing.rate_column(steps, mixing.MOST_RATE, 3)).collect()])
     goal = np.array(shares) * tokens.sum()
     reached = np.abs((tokens * rates) @ p - goal).max() / tokens.sum()
+    assert fit.error == pytest.approx(reached, abs=1e-9)
     dense = np.ones(300)
     for _ in range(20_000):  # plain projected gradient on all rates
         dense = np.clip(dense - 1e-6 * (tokens[:, None] * p) @ ((tokens * dense) @ p - goal), 0, mixing.MOST_RATE)
     assert reached <= np.abs((tokens * dense) @ p - goal).max() / tokens.sum() + 1e-3
 
 
+def test_mixing_says_what_it_misses(spark):
+    members = spark.createDataFrame([(100, 0.9, 0.1), (100, 0.8, 0.2)], "tokens long, p0 double, p1 double")
+    fit = mixing.fit_rates(members, [0.0, 1.0], most=1.0)
+    assert fit.reason == "bounds" and fit.error > 0.5 and len(fit.reached) == 2
+    assert mixing.fit_rates(members, [0.9, 0.1], most=None).reason in ("matched", "bounds")
+    docs, labels = labelled_corpus(spark, 120)
+    with pytest.warns(UserWarning, match="missed"):
+        mixing.mix(frame(spark, docs), labels, {"clean": 0.0, "low": 0.0, "toxic": 1.0}, most_rate=1.0)
+
+
+def test_mixing_repeats_the_first_domain(spark):
+    docs, labels = labelled_corpus(spark)
+    before = mixing.mix(frame(spark, docs), labels)
+    held = before.agg(F.sum(F.col("tokens") * F.col("p_clean"))).first()[0]
+    rows = mixing.mix(frame(spark, docs), labels, {"clean": 0.9, "low": 0.05, "toxic": 0.05}, 2.0, first_scale=1.2).collect()
+    for d, share in (("clean", 0.9), ("low", 0.05), ("toxic", 0.05)):
+        assert abs(sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) - 1.2 * held * share / 0.9) < 0.02 * held
+    good = {r.doc_id for r in labels.collect() if r.quality and not r.toxic}
+    assert np.mean([r.copies >= 1 for r in rows if r.doc_id in good]) > 0.99
+
+
 def test_mixing_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.mix(frame(spark, []), empty).count() == 0
     docs = frame(spark, [(1, None, "s"), (1, None, "s"), (None, "a b", None), (2, "", "s")])
     assert mixing.mix(docs, empty).count() == 4
-    once = mixing.mix(docs, empty, most_rate=1.0, keep_first=True)
+    once = mixing.mix(docs, empty, most_rate=1.0, first_scale=1.0)
     out = mixing.emit_copies(docs, once)
     assert out.columns == SCHEMA.names and out.count() <= 4
 

@@ -10,14 +10,17 @@ document and the driver sees one total for each domain.
 A document with rate r is emitted floor(r) times and once more with probability r - floor(r), by a
 hash of its id.
 
-Null and blank texts have no tokens and the posterior of a text without telling words.  Rows that agree in id and text get
-the same result; extra columns are ignored; an empty table gives an empty result.  Without labels
-all posteriors are the same.
+Null and blank texts have no tokens and the posterior of a text without telling words.  Rows that agree in
+id and text get the same result; extra columns are ignored by :func:`mix` and kept by
+:func:`emit_copies`, whatever their names; an empty table gives an empty result.  Without labels all
+posteriors are the same.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from .common import fresh, join_checked, materialize, release
 #: Domains, told by ``labels``: good text, text of low quality, toxic text.
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.04, "toxic": 0.06}
-MOST_RATE = 4.0
+MOST_RATE = 4.0  # epochs of a document at most; None for no bound
+MISS = 0.01
 TEMPERATURE = 0.5  # before calibration
 ORDER = 1  # n-grams of the classifier
 STEPS = 25
@@ -93,41 +97,64 @@ def _scores(ratios, n: int):
     return run
 
 
-def rate_column(steps: Sequence[Sequence[float]], most: float, domains: int) -> Column:
+def rate_column(steps: Sequence[Sequence[float]], most: float | None, domains: int) -> Column:
     """Rate after the given steps: from 1, less the posterior's share of each step, kept in bounds."""
     rate = F.lit(1.0)
     for step in steps:
         move = sum((F.col(f"p{k}") * F.lit(float(step[k])) for k in range(domains)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate - move))
+        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = rate if most is None else F.least(F.lit(float(most)), rate)
     return rate
 
 
-def fit_rates(members: DataFrame, shares: Sequence[float], most: float = MOST_RATE, budget: float | None = None) -> list[list[float]]:
-    """Steps of the projected gradient for ``members`` (``tokens, p0, p1, ...``).  ``budget`` is the
-    total of the targets, by default that of the corpus."""
+@dataclass(frozen=True)
+class Fit:
+    """Steps that make the rates, expected totals by domain wanted and reached, and why it stopped:
+    ``matched``, ``bounds`` (the bounds on rates allow no closer match), ``steps`` (the most steps were
+    taken) or ``empty``."""
+
+    steps: list[list[float]]
+    goal: list[float]
+    reached: list[float]
+    reason: str
+
+    @property
+    def error(self) -> float:
+        """Largest miss of a domain as a share of the whole target."""
+        return max((abs(g - r) for g, r in zip(self.goal, self.reached, strict=True)), default=0.0) / (sum(self.goal) or 1.0)
+
+
+def fit_rates(members: DataFrame, shares: Sequence[float], most: float | None = MOST_RATE, budget: float | None = None) -> Fit:
+    """Projected gradient for ``members`` (``tokens, p0, p1, ...``).  ``budget`` is the total of the
+    targets, by default that of the corpus."""
     n = len(shares)
     total = lambda e: F.coalesce(F.sum(F.col("tokens") * e), F.lit(0.0))
     first = members.agg(*[total(F.col(f"p{i}") * F.col(f"p{j}")) for i in range(n) for j in range(n)], total(F.lit(1.0))).first()
     size = float(first[n * n])
     if not size:
-        return []
+        return Fit([], [0.0] * n, [0.0] * n, "empty")
     goal = np.array(shares, float) / sum(shares) * (size if budget is None else budget)
     # Scaling each document by its tokens and the domains by this inverse makes steps near-exact.
     metric = np.linalg.inv(np.array(first[: n * n], float).reshape(n, n) + np.eye(n) * size * 1e-9)
     steps: list[list[float]] = []
-    best, kept = np.inf, 0
+    best, kept, improved, reached, reason = np.inf, 0, 0, goal, "steps"
     for _ in range(STEPS):
         rate = rate_column(steps, most, n)
         now = np.array(members.agg(*[total(F.col(f"p{k}") * rate) for k in range(n)]).first(), float)
         error = float(np.abs(now - goal).max() / goal.sum())
-        if error < best - TOLERANCE / 10:
-            best, kept = error, len(steps)
-        elif len(steps) - kept >= 4:  # the bounds allow no closer match
-            break
+        if error < best:
+            kept, reached = len(steps), now
         if error < TOLERANCE:
+            reason = "matched"
             break
+        if error >= best - TOLERANCE / 10 and len(steps) - improved >= 4:
+            reason = "bounds"
+            break
+        if error < best - TOLERANCE / 10:
+            improved = len(steps)
+        best = min(best, error)
         steps.append((metric @ (now - goal)).tolist())
-    return steps[:kept]
+    return Fit(steps[:kept], goal.tolist(), reached.tolist(), reason)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = ngrams.MAX_LABELLED) -> DataFrame:
@@ -147,22 +174,27 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = ngrams.MAX_
 
 
 def mix(
-    docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, most_rate: float = MOST_RATE, keep_first: bool = False,
+    docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, most_rate: float | None = MOST_RATE, first_scale: float | None = None,
     max_labelled: int = ngrams.MAX_LABELLED, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, th, tokens, p_<domain>..., rate, copies`` of every row.
 
-    With ``keep_first`` the targets are totals relative to what the corpus has of the first domain,
-    so that its documents stay whole and the others are thinned to their share of it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    The targets' total is that of the corpus or, with ``first_scale``, such that the first domain gets
+    so many times the tokens that the corpus has of it: from 1 on its documents stay and are repeated,
+    and only the others are thinned to their share of it.  Warns if the bounds on rates leave a domain
+    more than ``MISS`` of the total away from its target."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     members = classify(rows, labels, max_labelled)
     shares = [float(targets.get(d, 0.0)) for d in DOMAINS]
     budget = None
-    if keep_first and shares[0] > 0:
-        budget = float(members.agg(F.coalesce(F.sum(F.col("tokens") * F.col("p0")), F.lit(0.0))).first()[0]) / shares[0] * sum(shares)
-    rate = rate_column(fit_rates(members, shares, most_rate, budget), most_rate, len(DOMAINS))
+    if first_scale is not None and shares[0] > 0:
+        held = members.agg(F.coalesce(F.sum(F.col("tokens") * F.col("p0")), F.lit(0.0))).first()[0]
+        budget = first_scale * float(held) / shares[0] * sum(shares)
+    fit = fit_rates(members, shares, most_rate, budget)
+    if fit.error > MISS:
+        warnings.warn(f"targets missed by {fit.error:.1%} of the total ({fit.reason}): wanted {fit.goal}, reached {fit.reached}", stacklevel=2)
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
-    rated = members.withColumn("rate", rate)
+    rated = members.withColumn("rate", rate_column(fit.steps, most_rate, len(DOMAINS)))
     copies = (F.floor("rate") + F.when(uniform < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
     return rated.select("doc_id", "th", "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies.alias("copies"))
 
