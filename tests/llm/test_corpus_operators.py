@@ -202,10 +202,11 @@ def test_repeated_words():
 
 def brute_top(rows, k):
     out = []
-    whole = [(u, i, [int(np.floor(64 * float(x))) for x in v]) for u, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    held = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
+    whole = [(u, i, [int(float(np.floor(64 * float(x)))) for x in v]) for u, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for u, i, q in whole:
         if i % 20 == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(q, w, strict=True)), j, w_u) for w_u, j, w in whole if w_u != u and len(w) == len(q)))
+            scored = sorted(((-held(sum(a * b for a, b in zip(q, w, strict=True))), j, w_u) for w_u, j, w in whole if w_u != u and len(w) == len(q)))
             out += [(i, n + 1, j, -s) for n, (s, j, _) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -232,7 +233,40 @@ def test_tree_prunes_clusters():
     for i in range(len(queries)):
         best = np.lexsort((np.arange(8000), -scores[i]))[:10]
         assert row[q == i].tolist() == best.tolist() and score[q == i].tolist() == scores[i][best].tolist()
-    assert tree.computed < 0.3 * len(queries) * len(points)
+    spent = tree.counts["routing"] + tree.counts["scores"]
+    assert spent < 0.3 * len(queries) * len(points)
+    assert all(tree.counts[kind] > 0 for kind in ("routing_spared", "unopened", "members_spared")), tree.counts
+    assert tree.counts["scores"] + tree.counts["members_spared"] + tree.counts["unopened"] == len(queries) * len(points)
+
+
+def test_floors_spare_computations_without_loss():
+    rnd = np.random.default_rng(17)
+    points = np.floor(rnd.normal(size=(3000, 5)) * 100)
+    tree = mtree.Tree({**mtree.build_tree(points), "points": points, "ids": np.arange(3000), "uids": np.arange(3000)})
+    queries, nobody = np.floor(rnd.normal(size=(40, 5)) * 100), np.full(40, -1)
+    q, row, score = tree.search(queries, 5, nobody)
+    plain = tree.counts["scores"]
+    tree.counts.clear()
+    floors = np.array([score[q == i].min() for i in range(40)])
+    again = tree.search(queries, 5, nobody, floors)
+    assert [x.tolist() for x in again] == [q.tolist(), row.tolist(), score.tolist()] and tree.counts["scores"] < plain
+
+
+def test_top_k_of_large_components(spark):
+    rnd = np.random.default_rng(18)
+    big = [1e6, 6e5, -3e9, 2.0**40, -1e15, 3e18, 1e30, 7e150]
+    rows = [(i, [float(rnd.choice(big) if rnd.random() < 0.4 else rnd.normal()) for _ in range(3)]) for i in range(0, 400, 5)]
+    rows += [(20, [1e6, 6e5, 0.0]), (40, []), (60, []), (61, []), (80, [1e300, 1.0, 1.0]), (100, [1.7e308, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = mtree.top_k(df, F.col("vec_id") % 20 == 0, shard_rows=30, group_queries=5).collect()
+    assert sorted(tuple(r) for r in found) == brute_top([r for r in rows if r[0] != 100 or r[1][0] < 1e308], 20)
+
+
+def test_top_k_of_many_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(600)] + [(600 + i, [float(i % 7), -1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = mtree.top_k(df, F.col("vec_id") % 20 == 0, shard_rows=100, group_queries=8).collect()
+    assert sorted(tuple(r) for r in found) == brute_top(rows, 20)
 
 
 # Class models, importance resampling, mixing
