@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import os
 import random
 import re
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from upliftforge.llm import pii, secrets
 from upliftforge.llm.common import tokenizer_path
 from upliftforge.llm.pieces import PrefixTableCodec, encode_documents
-from upliftforge.llm.token_counts import count_tokens
+from upliftforge.llm.token_counts import count_tokens, folds
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("th", T.LongType())])
 
@@ -172,7 +173,46 @@ def test_token_counts_and_cache(spark, tmp_path):
     for r, t in zip(rows, texts, strict=True):
         n = len(tokenizer.encode(t or "", add_special_tokens=False).ids)
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((t or "").encode()), n > 50), t
-    stored = spark.read.parquet(cache).count()
-    again = count_tokens(frame(spark, [*texts, "one more"]), tokenizer_path("word_bpe_49k.json"), cache).count()
-    assert again == len(texts) + 1 and spark.read.parquet(cache).count() == stored + 1
+    assert [p for p in os.listdir(f"{tmp_path}/cache") if not p.startswith("batch-")] == []
+    stored = spark.read.parquet(f"{cache}/batch-*").count()
+    assert stored == spark.read.parquet(f"{cache}/batch-*").select("digest").distinct().count()
+    again = count_tokens(frame(spark, [*texts, "one more"]), tokenizer_path("word_bpe_49k.json"), cache, limit=50).orderBy("doc_id").collect()
+    assert again[:-1] == rows and spark.read.parquet(f"{cache}/batch-*").count() == stored + 1
     assert count_tokens(frame(spark, []), tokenizer_path("word_bpe_49k.json"), cache).count() == 0
+
+
+@pytest.mark.parametrize("most_bytes", [0, 600, 1 << 20])
+def test_token_counts_alike_however_the_misses_are_found(spark, tmp_path, most_bytes):
+    texts = [f"word{k // 2} and more" for k in range(30)] + [None, "", "", "x " * 60_000]
+    df = frame(spark, texts).union(frame(spark, ["word0 and more", None]))  # repeated ids and rows
+    want = sorted(count_tokens(df, tokenizer_path("word_bpe_49k.json"), f"file://{tmp_path}/whole").collect())
+    half = f"file://{tmp_path}/half"
+    count_tokens(df.where("doc_id < 12"), tokenizer_path("word_bpe_49k.json"), half).count()
+    for _ in ("half-filled", "warm"):
+        assert sorted(count_tokens(df, tokenizer_path("word_bpe_49k.json"), half, most_bytes=most_bytes).collect()) == want
+    assert spark.read.parquet(f"{half}/batch-*").select("digest").distinct().count() == 17
+
+
+def test_token_counts_of_combining_marks(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = ["J\u030c", "J\u030c and j\u030c", "T\u0308 W\u030a Y\u030a H\u0331", "a \u0301 b", "e\u0301tE\u0301 É"]
+    rows = count_tokens(frame(spark, texts), tokenizer_path("word_bpe_49k.json"), f"file://{tmp_path}/cache").orderBy("doc_id").collect()
+    assert [r.n_tokens for r in rows] == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_other_tokenizers_count_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    assert folds(spec)
+    spec["normalizer"] = None
+    with open(f"{tmp_path}/cased.json", "w") as f:
+        json.dump(spec, f)
+    assert not folds(spec)
+    tokenizer = Tokenizer.from_file(f"{tmp_path}/cased.json")
+    texts = ["Some Words  HERE", "some words here", None, "A\n\tB"]
+    rows = count_tokens(frame(spark, texts), f"{tmp_path}/cased.json", f"file://{tmp_path}/cache").orderBy("doc_id").collect()
+    assert [r.n_tokens for r in rows] == [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
