@@ -10,8 +10,8 @@ import re
 import pytest
 from pyspark.sql import types as T
 
-from upliftforge.llm import pii, secrets
-from upliftforge.llm.common import tokenizer_path
+from upliftforge.llm import entry, pii, secrets
+from upliftforge.llm.common import store_dir, tokenizer_path
 from upliftforge.llm.pieces import PrefixTableCodec, encode_documents
 from upliftforge.llm.token_counts import count_tokens, folds
 
@@ -69,6 +69,21 @@ def test_structural_confirmation():
     assert "key_b64" not in kinds(base64.b64encode(ssh[:-1]).decode())
 
 
+def test_pem_bodies_are_parsed():
+    spans = lambda t: dict(secrets.scan(t))["pem"]
+    pem = lambda body, label="PRIVATE KEY": f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
+    encrypted = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + base64.b64encode(bytes(32)).decode()
+    assert spans("x " + pem(RSA)) == [(2, 2 + len(pem(RSA)))]
+    assert spans(pem(RSA, "RSA PRIVATE KEY").replace("\n", "\\n")) and spans(pem(RSA).replace("\n", "\r\n"))
+    assert spans(pem(encrypted, "RSA PRIVATE KEY"))
+    assert not spans(pem("this is NOT ENCRYPTED prose")) and not spans(pem(encrypted[:-4])) and not spans(pem(encrypted.replace("DEK-Info", "Info")))
+    assert not spans(pem(encrypted.replace("00112233", "no hex: "))) and not spans(pem("")) and not spans(pem(RSA)[:-1])
+    assert not spans(pem(RSA).replace("END PRIVATE", "END RSA PRIVATE"))
+    twice = "-----BEGIN PRIVATE KEY-----\n" + pem(RSA)  # the inner mark starts anew
+    assert spans(twice) == [(28, len(twice))]
+    assert spans("-----BEGIN PRIVATE KEY-----\n" * 100_000 + pem(RSA)) and not spans("-----BEGIN PRIVATE KEY-----\n" * 100_000)
+
+
 def test_key_after_an_equals_sign():
     der = bytes([0x30, 0x81, 0x8A, 0x02, 0x01, 0x00, *([0x02, 0x0D, *range(1, 14)] * 9)])
     ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"pub" * 8, b"priv" * 8))
@@ -111,6 +126,13 @@ def test_pii_added_kinds_and_scores(spark):
     assert rows[4].findings[0].score == pytest.approx(1.0)
 
 
+def test_iban_by_country_length(spark):
+    texts = ["iban ES91 2100 0418 4502 0005 1332 EUR", "ES9121000418450200051332 THE", "account BE68 5390 0754 7034 ING", "iban NO93 8601 1117 947", "iban ZZ91 2100 0418 4502 0005 1332", "iban ES91 2100 0418 4502 0005 1333"]
+    rows = pii.find_pii(frame(spark, texts)).orderBy("doc_id").collect()
+    found = [[tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("iban")] for r in rows]
+    assert found == [[(5, 34)], [(0, 24)], [(8, 27)], [(5, 23)], [], []]
+
+
 def test_pii_is_linear_on_long_runs(spark):
     texts = ["a" * 50_000 + "@", "9" * 20_000, "a@b." * 5_000, "1.1.1.1 " * 3_000]
     rows = pii.find_pii(frame(spark, texts)).orderBy("doc_id").collect()
@@ -216,3 +238,11 @@ def test_other_tokenizers_count_whole_texts(spark, tmp_path):
     texts = ["Some Words  HERE", "some words here", None, "A\n\tB"]
     rows = count_tokens(frame(spark, texts), f"{tmp_path}/cased.json", f"file://{tmp_path}/cache").orderBy("doc_id").collect()
     assert [r.n_tokens for r in rows] == [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_token_count_query_is_alike_cold_and_warm(spark):
+    cold = sorted(entry.op3_token_counts(spark, "/root/testdata/sf0.001").collect())
+    folder = f"{store_dir(spark)}/token-counts/batch-*"
+    stored = spark.read.parquet(folder).count()
+    assert sorted(entry.op3_token_counts(spark, "/root/testdata/sf0.001").collect()) == cold
+    assert spark.read.parquet(folder).count() == stored > 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import importance, line_dedup, mixing, mtree, pii, quality_rules
-from .common import new_folder, table, tokenizer_path
+from .common import store_dir, table, tokenizer_path
 from .pieces import encode_documents
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -24,7 +24,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = new_folder(spark, "token-counts")
+    cache = f"{store_dir(spark)}/token-counts"  # kept: later runs encode only what no run before has counted
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), cache)
 
 

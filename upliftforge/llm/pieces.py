@@ -51,6 +51,8 @@ class PrefixTableCodec:
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i)}
         byte_of = {i: int(sp.id_to_piece(i)[3:5], 16) for i in range(n) if sp.is_byte(i)}
         self.byte_id = {b: i for i, b in byte_of.items()}
+        if len(self.byte_id) != 256:  # otherwise the library merges runs of unknown characters
+            raise ValueError("only models with a piece for every byte are supported")
         self.piece = [sp.id_to_piece(i) for i in range(n)]
         ids = [i for i in range(n) if i not in special and i not in byte_of]
         self.id = {self.piece[i]: i for i in ids}

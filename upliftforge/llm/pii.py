@@ -22,12 +22,33 @@ ADDED_KINDS = ("iban", "ssn")
 KINDS = BASE_KINDS + ADDED_KINDS
 
 LOCAL = "A-Za-z0-9._%+-"
+#: Characters of an international bank account number by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 "
+    "MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+
+
+def _iban_pattern() -> str:
+    """Country, check digits, and as many characters as the country has, in fours or not."""
+    by_length: dict[int, list[str]] = {}
+    for entry in IBAN_LENGTHS.split():
+        by_length.setdefault(int(entry[2:]), []).append(entry[:2])
+    kinds = []
+    for length, countries in sorted(by_length.items()):
+        fours, rest = divmod(length - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        kinds.append(rf"(?:{'|'.join(countries)})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    return f"(?:{'|'.join(kinds)})"
+
+
 PATTERNS = {
     "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "iban": _iban_pattern(),
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 #: What a text must hold for the pattern to be worth running.

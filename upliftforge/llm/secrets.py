@@ -32,7 +32,8 @@ ASSIGN = re.compile(
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY)-----")
+DEK_INFO = re.compile(r"[A-Za-z0-9-]+,\s?(?:[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})")
 #: A DER sequence starts with byte 0x30, in base64 with M; OpenSSH containers with their magic.
 KEY_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{47,}={0,2}")
 KEY_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
@@ -139,22 +140,33 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
     return len(signature) >= 20 or (parts[0]["alg"].lower() == "none" and not signature)
 
 
+def is_pem_body(body: str) -> bool:
+    """The base64 between the marks is a private key, or one that its headers say is encrypted: with a
+    cipher, an initial vector in hex, and whole blocks of it."""
+    body = body.replace("\\n", "\n").replace("\r\n", "\n").strip()
+    headers = {}
+    if ":" in body:
+        head, blank, body = body.partition("\n\n")
+        lines = [line.partition(":") for line in head.split("\n")]
+        if not blank or not all(colon and name.strip() for name, colon, _ in lines):
+            return False
+        headers = {name.strip().lower(): value.strip() for name, _, value in lines}
+    data = decode_b64("".join(body.split()))
+    if headers.get("proc-type", "").replace(" ", "").upper() == "4,ENCRYPTED":
+        return bool(DEK_INFO.fullmatch(headers.get("dek-info", ""))) and bool(data) and len(data) >= 16 and len(data) % 8 == 0
+    return is_private_key(data)
+
+
 def pem_spans(text: str) -> list[tuple[int, int]]:
-    spans, at = [], 0
-    while m := PEM_BEGIN.search(text, at):
-        closing = f"-----END {m[1]}-----"
-        end = text.find(closing, m.end())
-        if end < 0:
-            at = m.end()
-            continue
-        body = text[m.end() : end]
-        if "\n\n" in body and ":" in body:  # encapsulated headers
-            body = body.rpartition("\n\n")[2]
-        if is_private_key(decode_b64("".join(body.replace("\\n", "\n").split()))) or "ENCRYPTED" in text[m.end() : end]:
-            spans.append((m.start(), end + len(closing)))
-            at = end + len(closing)
-        else:
-            at = m.end()
+    """Spans from a BEGIN mark to the next END mark of its label; a BEGIN mark in between starts anew."""
+    spans, begin = [], None
+    for m in PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin:
+            if m[2] == begin[2] and is_pem_body(text[begin.end() : m.start()]):
+                spans.append((begin.start(), m.end()))
+            begin = None
     return spans
 
 
