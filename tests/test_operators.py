@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from upliftforge.functions.scalar import missing_to_null
 from upliftforge.operators import balance, gates, joins, meta, profile, ranking, resample, split
-from upliftforge.plans.prefix import prefix_sums
+from upliftforge.plans.prefix import exact_quantiles, prefix_sums
 from upliftforge.roles import FEATURES, LABELS, OUTCOME, ROW_ID, TREATMENT, ContractError, HeldOutAccessError, assert_feature_contract
 
 NAMES = [*FEATURES, *LABELS, ROW_ID]
@@ -94,6 +94,12 @@ def test_rankable_gates(spark):
         with pytest.raises(ContractError):
             gates.require_rankable(scored_frame(spark, bad), least_rows=10)
     assert gates.require_rankable(scored_frame(spark, good), least_rows=10).count() == 20
+    assert gates.require_rankable(scored_frame(spark, good).withColumn("m", F.col(ROW_ID) >= 10), least_rows=10, by=["m"]).count() == 20
+    with pytest.raises(ContractError):
+        gates.require_rankable(scored_frame(spark, good).withColumn("m", F.col(ROW_ID) % 3), least_rows=10, by=["m"])
+    for use in (ranking.evaluate_ranking, ranking.decile_uplift):
+        with pytest.raises(ContractError):
+            use(scored_frame(spark, good[:9]))
 
 
 def test_prefix_sums_match_python(spark):
@@ -272,3 +278,17 @@ def test_meta_algebra(spark):
         meta.xlearner_combine(both, 1.5)
     with pytest.raises(ContractError):
         meta.require_probabilities(df.withColumn("mu0", F.lit(1.2)), ["mu0"])
+
+
+def test_exact_quantiles_match_percentile(spark):
+    rows = [(g, float(v) if v % 7 else None) for g in ("a", "b") for v in range(1, 60 if g == "a" else 3)] + [("c", None), ("d", 4.0), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    p = [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("value", F.array(*[F.lit(x) for x in p])).alias("q")).collect()}
+    found = {r.g: r.q for r in exact_quantiles(df, p, ["g"]).collect()}
+    assert "c" not in found
+    for g, q in found.items():
+        assert q == pytest.approx(want[g])
+    whole = df.agg(F.percentile("value", F.array(*[F.lit(x) for x in p])).alias("q")).first().q
+    assert exact_quantiles(df, p).first().q == pytest.approx(whole)
+    assert exact_quantiles(df.where("value > 1000"), p).count() == 0

@@ -67,10 +67,53 @@ def test_selector():
 
 def test_open_processed_checks_digest(spark, base):
     audit_frame(spark).coalesce(1).write.parquet(f"{base}/p")
-    sha = ingest.file_digests(spark, f"{base}/p").where("path like '%.parquet'").first().sha256
-    assert ingest.open_processed(spark, ingest.Selector("", f"{base}/p", sha)).count() == 20
+    sha = ingest.table_digest(spark, f"{base}/p")
+    open_ = lambda **more: ingest.open_processed(spark, ingest.Selector("", f"{base}/p", **{"sha256": sha, **more}))
+    assert open_().count() == 20 and open_(rows=20).count() == 20
+    for wrong in ({"sha256": "0" * 64}, {"sha256": None}, {"rows": 21}):
+        with pytest.raises(ContractError):
+            open_(**wrong)
+    audit_frame(spark, 5).coalesce(1).write.mode("append").parquet(f"{base}/p")  # the pinned file is there, and another
+    with pytest.raises(ContractError):
+        open_()
+    audit_frame(spark).drop("exposure").coalesce(1).write.parquet(f"{base}/less")
+    with pytest.raises(ContractError):
+        ingest.open_processed(spark, ingest.Selector("", f"{base}/less", ingest.table_digest(spark, f"{base}/less")))
+
+
+def test_layout_of_row_groups(spark, base):
+    df = audit_frame(spark, 40).coalesce(1)
+    ingest.write_parquet(df, f"{base}/z")
+    assert [x[1:] for x in ingest.layout(spark, f"{base}/z")] == [(40, "ZSTD")]
+    ingest.require_layout(spark, f"{base}/z")
+    with pytest.raises(ContractError):
+        ingest.require_layout(spark, f"{base}/z", most_rows=39)
+    df.write.option("compression", "snappy").parquet(f"{base}/s")
     with pytest.raises(ContractError):
-        ingest.open_processed(spark, ingest.Selector("", f"{base}/p", "0" * 64))
+        ingest.require_layout(spark, f"{base}/s")
+
+
+def test_cached_parquet_is_used_again(spark, base):
+    source = write_csv(spark, base, 20)
+    assert ingest.cached_parquet(spark, source, f"{base}/p") == {"rows": 20, "reused": False}
+    assert ingest.cached_parquet(spark, source, f"{base}/p") == {"rows": 20, "reused": True}
+    audit_frame(spark, 5).select(*FEATURES, *LABELS).write.mode("append").options(header=True).csv(source)
+    assert ingest.cached_parquet(spark, source, f"{base}/p") == {"rows": 25, "reused": False}
+
+
+def test_row_ordinals_follow_file_names(spark, base):
+    audit_frame(spark, 50).repartitionByRange(5, ROW_ID).sortWithinPartitions(ROW_ID).select(F.col(ROW_ID).cast("double").alias("f0"), *FEATURES[1:], *LABELS).write.options(header=True).csv(f"{base}/many")
+    rows = ingest.with_row_ordinal(ingest.read_csv_typed(spark, f"{base}/many")).collect()
+    assert len(rows) == 50 and all(r.f0 == r[ROW_ID] for r in rows)
+    plain = ingest.with_row_ordinal(spark.range(7).repartition(3).select("id"))
+    assert sorted(r[ROW_ID] for r in plain.collect()) == list(range(7))
+
+
+def test_nan_is_null_at_the_scan(spark, tmp_path):
+    (tmp_path / "x.csv").write_text(",".join([*FEATURES, *LABELS]) + "\n" + ",".join(["NaN", *["1.5"] * 11, "1", "0", "0", "1"]) + "\n")
+    for df in (ingest.read_csv_typed(spark, f"file://{tmp_path}/x.csv"), ingest.safe_cast(ingest.read_csv_text(spark, f"file://{tmp_path}/x.csv"))):
+        row = df.first()
+        assert row.f0 is None and row.f1 == 1.5
 
 
 def test_run_is_write_once(spark, base):

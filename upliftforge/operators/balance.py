@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, stack
-from ..plans.prefix import prefix_sums
+from ..plans.prefix import exact_quantiles, prefix_sums
 from ..roles import FEATURES, QUANTILES, TREATMENT
 from .profile import unpivot
 
@@ -22,13 +22,17 @@ def arm_moments(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     return stack(wide, [TREATMENT], features, {k: f"{k}_{{}}" for k in parts})
 
 
-def smd_balance(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Signed and absolute SMD with equal-arm weighting, variance ratio, arm quantiles, and status."""
-    at = F.array(*[F.lit(q) for q in QUANTILES])
+def smd_balance(df: DataFrame, features: Sequence[str] = FEATURES, with_shifts: bool = True) -> DataFrame:
+    """Signed and absolute SMD with equal-arm weighting, variance ratio, status and, unless they are not
+    wanted, the shifts of the arms' quantiles."""
     arm = lambda f, a: F.when(F.col(TREATMENT) == a, F.col(f))
-    parts = {"n": F.count, "mean": F.avg, "variance": F.var_samp, "min": F.min, "max": F.max, "q": lambda c: F.percentile(c, at)}
+    parts = {"n": F.count, "mean": F.avg, "variance": F.var_samp, "min": F.min, "max": F.max}
     wide = df.agg(F.count_if(F.col(TREATMENT) == 0).alias("rows0"), F.count_if(F.col(TREATMENT) == 1).alias("rows1"), *[fn(arm(f, a)).alias(f"{k}{a}_{f}") for f in features for k, fn in parts.items() for a in (0, 1)])
     rows = stack(wide, ["rows0", "rows1"], features, {f"{k}{a}": f"{k}{a}_{{}}" for k in parts for a in (0, 1)})
+    if with_shifts:
+        arms = exact_quantiles(unpivot(df, [TREATMENT], features), QUANTILES, ["feature", TREATMENT])
+        sides = arms.groupBy("feature").agg(*[F.max(F.when(F.col(TREATMENT) == a, F.col("q"))).alias(f"q{a}") for a in (0, 1)])
+        rows = rows.join(F.broadcast(sides), "feature", "left")  # a row for each feature
     sd = F.sqrt((F.col("variance1") + F.col("variance0")) / 2)
     constant = (F.col("min0") == F.col("max0")) & (F.col("min1") == F.col("max1")) & (F.col("min0") == F.col("min1"))
     status = F.when((F.col("n0") < 2) | (F.col("n1") < 2), TOO_FEW).when((sd == 0) & constant, CONSTANT).when(sd == 0, ZERO_SD).otherwise(DEFINED)
@@ -36,7 +40,7 @@ def smd_balance(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     signed = F.when(F.col("status") == DEFINED, ratio(F.col("mean1") - F.col("mean0"), F.col("pooled_sd")))
     spread = F.when(F.col("status") == DEFINED, ratio(F.col("variance1"), F.col("variance0")))
     label = lambda q: f"q{round(q * 100):02d}"
-    shifts = [(F.element_at("q1", k + 1) - F.element_at("q0", k + 1)).alias(f"shift_{label(q)}") for k, q in enumerate(QUANTILES)]
+    shifts = [(F.element_at("q1", k + 1) - F.element_at("q0", k + 1)).alias(f"shift_{label(q)}") for k, q in enumerate(QUANTILES) if with_shifts]
     return rows.select(
         "feature", F.col("n0").alias("control_n"), F.col("n1").alias("treated_n"), (F.col("rows0") - F.col("n0")).alias("control_missing"), (F.col("rows1") - F.col("n1")).alias("treated_missing"),
         F.col("mean0").alias("control_mean"), F.col("mean1").alias("treated_mean"), "pooled_sd", "status", signed.alias("smd_signed"), F.abs(signed).alias("smd_absolute"),

@@ -101,21 +101,29 @@ def require_population(df: DataFrame) -> DataFrame:
     return df
 
 
-def ranking_gates(df: DataFrame, score: str = "score") -> DataFrame:
-    """One row: what keeps a scored frame from being ranked."""
+def ranking_gates(df: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each ranking: what keeps a scored frame from being ranked."""
     s = F.col(score)
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count("*").alias("rows"), F.count_if(s.isNull() | F.isnan(s) | (F.abs(s) == INFINITY)).alias("bad_scores"),
         (F.count("*") - F.count_distinct(ROW_ID)).alias("bad_ids"), binary_violations(df, TREATMENT).alias("bad_treatment"),
         binary_violations(df, OUTCOME).alias("bad_outcome"), F.count_if(F.col(TREATMENT) == 1).alias("treated"), F.count_if(F.col(TREATMENT) == 0).alias("control"),
     )
 
 
-def require_rankable(df: DataFrame, score: str = "score", least_rows: int = 1) -> DataFrame:
-    g = ranking_gates(df, score).first()
-    bad = [k for k in ("bad_scores", "bad_ids", "bad_treatment", "bad_outcome") if g[k]]
-    if bad or not g["treated"] or not g["control"] or g["rows"] < least_rows:
-        raise ContractError(f"not rankable: {bad or 'an arm is empty or there are too few rows'}")
+def require_rankable(df: DataFrame, score: str = "score", least_rows: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """Stops on a score that is missing or not finite, repeated ids, other labels, an empty arm or too few
+    rows, in any of the rankings."""
+    wrong = ("bad_scores", "bad_ids", "bad_treatment", "bad_outcome")
+    failed = F.greatest(*wrong) > 0
+    failed = failed | (F.col("treated") == 0) | (F.col("control") == 0) | (F.col("rows") < least_rows)
+    found = ranking_gates(df, score, by)
+    found = found.where(failed) if by else found
+    g = found.first()  # one of those that fail
+    if g is not None:
+        bad = [k for k in wrong if g[k]]
+        if bad or not g["treated"] or not g["control"] or g["rows"] < least_rows:
+            raise ContractError(f"not rankable: {bad or 'an arm is empty or there are too few rows'}")
     return df
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, stack
+from ..plans.prefix import exact_quantiles
 from ..roles import AUDIT_ONLY, FEATURES, OUTCOME, QUANTILES, ROW_ID, SECONDARY, TREATMENT
 
 
@@ -56,8 +57,7 @@ def crosstab(df: DataFrame, row: str = TREATMENT, column: str = AUDIT_ONLY) -> D
 def quantiles(df: DataFrame, features: Sequence[str] = FEATURES, probabilities: Sequence[float] = QUANTILES) -> DataFrame:
     """Exact quantiles with linear interpolation: ``feature, probability, value``."""
     at = F.array(*[F.lit(p) for p in probabilities])
-    wide = df.agg(*[F.percentile(f, at).alias(f"q_{f}") for f in features])
-    rows = stack(wide, [], features, {"q": "q_{}"})
+    rows = exact_quantiles(unpivot(df, features=features), probabilities, ["feature"])
     return rows.select("feature", F.posexplode("q").alias("k", "value")).select("feature", F.element_at(at, F.col("k") + 1).alias("probability"), "value")
 
 
@@ -80,12 +80,11 @@ def distinct_counts(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFr
 def describe(df: DataFrame, features: Sequence[str] = FEATURES, by: str | None = None) -> DataFrame:
     """Rows, missing, mean, sample deviation, range and quartiles of each feature, by arm if asked."""
     keys = [by] if by else []
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     parts = {"non_missing": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
     wide = [F.count("*").alias("n")] + [fn(f).alias(f"{name}_{f}") for f in features for name, fn in parts.items()]
-    wide += [F.percentile(f, at).alias(f"q_{f}") for f in features]
-    grouped = df.groupBy(*keys).agg(*wide)
-    rows = stack(grouped, [*keys, "n"], features, {**{k: f"{k}_{{}}" for k in parts}, "q": "q_{}"})
+    rows = stack(df.groupBy(*keys).agg(*wide), [*keys, "n"], features, {k: f"{k}_{{}}" for k in parts})
+    quartiles = exact_quantiles(unpivot(df, keys, features), (0.25, 0.5, 0.75), [*keys, "feature"])
+    rows = rows.join(F.broadcast(quartiles), [*keys, "feature"], "left")  # a row for each feature and arm
     q = lambda k: F.element_at("q", k)
     return rows.select(*keys, "feature", "n", "non_missing", (F.col("n") - F.col("non_missing")).alias("missing"), "mean", "sd", "min", "max", q(1).alias("q25"), q(2).alias("q50"), q(3).alias("q75"))
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, ratio
 from ..plans.prefix import prefix_sums
-from ..roles import CURVE_POINTS, K_GRID, K_LABELS, OUTCOME, ROW_ID, TREATMENT
+from ..roles import CURVE_POINTS, K_GRID, K_LABELS, MIN_ROWS, OUTCOME, ROW_ID, TREATMENT
+from .gates import require_rankable
 
 
 def ate(df: DataFrame, treatment: str = TREATMENT, outcome: str = OUTCOME, by: Sequence[str] = ()) -> DataFrame:
@@ -106,7 +107,8 @@ def _at_k(run: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def decile_uplift(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return _deciles(ranked(scored, by), by)
+    """Ten groups by rank; stops if there are fewer than ten rows."""
+    return _deciles(ranked(require_rankable(scored, least_rows=MIN_ROWS, by=by), by), by)
 
 
 def _deciles(run: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -135,8 +137,9 @@ def cumulative_rate_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFram
 
 
 def evaluate_ranking(scored: DataFrame, by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """All ranking metrics of one ranking pass: ``curve, summary, top_k, deciles, cumulative``."""
-    run = ranked(scored, by)
+    """All ranking metrics of one ranking pass: ``curve, summary, top_k, deciles, cumulative``.  Stops on
+    frames that cannot be ranked (:func:`gates.require_rankable`)."""
+    run = ranked(require_rankable(scored, least_rows=MIN_ROWS, by=by), by)
     curve, deciles = curve_points(run, by), _deciles(run, by)
     return {"curve": curve, "summary": summarize_curve(curve, by), "top_k": _at_k(run, by), "deciles": deciles, "cumulative": cumulative_by_decile(deciles, by)}
 

@@ -254,7 +254,7 @@ def smd_balance(spark, sf_dir):
     ),
 )
 def max_abs_smd(spark, sf_dir):
-    return rounded(balance.balance_summary(balance.smd_balance(population(spark, sf_dir))))
+    return rounded(balance.balance_summary(balance.smd_balance(population(spark, sf_dir), with_shifts=False)))
 
 
 @query(
@@ -409,10 +409,25 @@ def split_support(spark, sf_dir):
     return both[0].unionByName(both[1]).select("split", F.col(TREATMENT).cast("long").alias(TREATMENT), F.col(OUTCOME).cast("long").alias(OUTCOME), "n")
 
 
-@query("split_disjoint", with_pop("select 0::bigint as overlapping, 0::bigint as missing, 0::bigint as extra, true as passed"))
+@query(
+    "split_disjoint",
+    with_pop(
+        "select 'as assigned' as membership, 0::bigint as overlapping, 0::bigint as missing, 0::bigint as extra, true as passed "
+        "union all select 'damaged', count(*) filter (where _source_row_id % 97 = 0 and _source_row_id % 89 <> 1 and split <> 'train'), count(*) filter (where _source_row_id % 89 = 1), "
+        "count(*) filter (where _source_row_id % 89 <> 1 and _source_row_id % 101 = 2), false from parts",
+        STRATA_SQL,
+    ),
+)
 def split_disjoint(spark, sf_dir):
+    """The membership as assigned, and one with ids in two splits, ids left out, and ids of no row."""
     df = slim(spark, sf_dir)
-    return split.disjoint_and_complete(split.assign_split(df), df)
+    members = split.assign_split(df).select(ROW_ID, "split")
+    less = members.where(F.col(ROW_ID) % 89 != 1)
+    twice = less.where(F.col(ROW_ID) % 97 == 0).withColumn("split", F.lit("train"))
+    strange = less.where(F.col(ROW_ID) % 101 == 2).withColumn(ROW_ID, -1 - F.col(ROW_ID))
+    damaged = less.unionByName(twice).unionByName(strange)
+    found = [split.disjoint_and_complete(m, df).withColumn("membership", F.lit(name)) for name, m in (("as assigned", members), ("damaged", damaged))]
+    return found[0].unionByName(found[1])
 
 
 @query("held_out_gate", with_pop("select case when count(*) = 4 then 'PASS' else 'FAIL' end as gate from (select distinct treatment, conversion from parts where split = 'held_out')", STRATA_SQL))
@@ -867,10 +882,34 @@ def diagnostic_actions(spark, sf_dir):
     return resample.diagnostic_actions(df)
 
 
-@query("evidence_violations", with_pop("select 0::bigint as violations"))
+#: Records of every kind, sound or not, by row id: vocabulary and the id's divisor.
+RECORD_FIELDS = {
+    "evidence_class": (("HARD_GATE", "EMPIRICAL_DIAGNOSTIC", "OTHER"), 1),
+    "evidence_status": (("PASS", "FAIL", "INFO", "WARNING", "MATERIAL_CONCERN", None), 3),
+    "required_action": (("PASS", "WARNING", "ROBUSTNESS_REQUIRED", "STOP", "OTHER", None), 18),
+    "execution_state": (("EXECUTED", "EXECUTED", "DEFERRED"), 108),
+}
+RECORDS_SQL = "records as (select " + ", ".join(
+    f"case (_source_row_id // {divisor}) % {len(names)} " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(names) if n) + f" end as {field}" for field, (names, divisor) in RECORD_FIELDS.items()
+) + " from pop)"
+
+
+@query(
+    "evidence_violations",
+    with_pop(
+        "select evidence_class, execution_state, count(*) as violations from records where case when execution_state <> 'EXECUTED' then evidence_status is not null or required_action is not null "
+        "else not coalesce(((evidence_class = 'HARD_GATE' and evidence_status in ('PASS', 'FAIL')) or (evidence_class = 'EMPIRICAL_DIAGNOSTIC' and evidence_status in ('INFO', 'WARNING', 'MATERIAL_CONCERN'))) "
+        "and required_action in ('PASS', 'WARNING', 'ROBUSTNESS_REQUIRED', 'STOP'), false) end group by all",
+        RECORDS_SQL,
+    ),
+)
 def evidence_violations(spark, sf_dir):
-    records = gates.pre_split_gates(population(spark, sf_dir)).withColumn("execution_state", F.lit("EXECUTED"))
-    return resample.evidence_violations(records).agg(F.count("*").alias("violations"))
+    """Violations among records of every combination, and none among the population's own gates."""
+    k = F.col(ROW_ID)
+    made = {f: F.array(*[F.lit(n) for n in names])[F.pmod(F.floor(k / divisor), F.lit(len(names))).cast("int")].alias(f) for f, (names, divisor) in RECORD_FIELDS.items()}
+    records = population(spark, sf_dir).select(*made.values())
+    own = gates.pre_split_gates(population(spark, sf_dir)).withColumn("execution_state", F.lit("EXECUTED")).select(*made)
+    return resample.evidence_violations(records.unionByName(own)).groupBy("evidence_class", "execution_state").agg(F.count("*").alias("violations"))
 
 
 
@@ -880,9 +919,9 @@ RAW_COLUMNS = ", ".join((*FEATURES, *LABELS))
 
 
 def csv_copy(spark, sf_dir) -> str:
-    """The population's raw columns as one CSV file in id order."""
+    """The population's raw columns as CSV files whose names are in id order."""
     path = new_folder(spark, "csv")
-    population(spark, sf_dir).orderBy(ROW_ID).select(*FEATURES, *LABELS).coalesce(1).write.options(header=True).csv(path)
+    population(spark, sf_dir).orderBy(ROW_ID).select(*FEATURES, *LABELS).write.options(header=True).csv(path)
     return path
 
 

@@ -45,3 +45,25 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Colum
         *[F.col(c) for c in df.columns], (F.col("_r") + F.col("_o_n")).cast("long").alias("r"),
         *[(F.col(f"_s{v}") + F.col(f"_o{v}")).alias(k) for k, v in zip(sums, values, strict=True)], *extra,
     )
+
+
+def exact_quantiles(values: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """``by`` and ``q``, an array of quantiles with linear interpolation, for each group of any size.
+
+    Values are counted first; with running counts in their order, the two neighbours of each quantile
+    are the values whose counts cover the two ranks, so nothing is gathered but one row a group."""
+    by = list(by)
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    run = prefix_sums(counts, [F.asc(value)], {"_upto": F.col("_c")}, by)
+    covers = lambda rank: F.max(F.when((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col(value)))
+    picked = []
+    for k, p in enumerate(probabilities):
+        at = (F.col("total__upto") - 1) * F.lit(float(p))
+        picked += [covers(F.floor(at)).alias(f"_low{k}"), covers(F.ceil(at)).alias(f"_high{k}")]
+    rows = run.groupBy(*by, "total__upto").agg(*picked)
+    ends = []
+    for k, p in enumerate(probabilities):
+        at = (F.col("total__upto") - 1) * F.lit(float(p))
+        low, high = F.col(f"_low{k}"), F.col(f"_high{k}")
+        ends.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+    return rows.select(*by, F.array(*ends).alias("q"))

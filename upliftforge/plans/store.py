@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_STORE = "file:///tmp/upliftforge-store"
 
 
+#: Folders handed out since the last :func:`clear`.
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_STORE
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    path = f"{(base or LOCAL_STORE).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the intermediate tables of all plans so far; results that are still to be computed from them
+    are lost, so call it once they have been written or collected."""
+    while _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -6,20 +6,24 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import missing_to_null
 from ..operators import gates
+from ..plans.prefix import prefix_sums
+from ..plans.store import materialize
 from ..roles import FEATURES, LABELS, PROCESSED_SCHEMA, RAW_SCHEMA, ROW_ID, ContractError
-from .runs import Store
+from .runs import Store, file_digests, table_digest
 
 ROW_GROUP = 1_048_576
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """Fixed types; a malformed value stops the read."""
-    return spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=False).csv(path)
+    """Fixed types; a malformed value stops the read.  NaN becomes NULL."""
+    return missing_to_null(spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=False).csv(path))
 
 
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
@@ -33,20 +37,26 @@ def read_csv_text(spark: SparkSession, path: str, schema: T.StructType = RAW_SCH
 
 
 def safe_cast(raw: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """Text to the declared types; what does not parse is NULL."""
-    return raw.select(*[F.trim(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+    """Text to the declared types; what does not parse, and NaN, is NULL."""
+    return missing_to_null(raw.select(*[F.trim(f.name).try_cast(f.dataType).alias(f.name) for f in schema]))
 
 
 def with_row_ordinal(df: DataFrame) -> DataFrame:
-    """Zero-based dense ordinal in scan order.  The engine's own numbers hold the partition and the
-    place in it; one row for each partition turns them into dense ones."""
-    numbered = df.withColumn("_k", F.monotonically_increasing_id())
-    part, place = F.shiftright("_k", 33), F.col("_k").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = numbered.withColumn("_place", place).withColumn("_at", part).join(offsets, F.col("_at") == F.col("_part"))
-    return joined.select(*df.columns, (F.col("_before") + F.col("_place")).alias(ROW_ID))
+    """Zero-based dense ordinal by file name and place in the file (by partition and place, if no files
+    are read).  The rows are numbered by the engine and written once, so that all steps see the same
+    numbers; running counts of the blocks that were read turn these into dense ones."""
+    number = F.monotonically_increasing_id()
+    try:
+        source = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+        numbered = df.select(*df.columns, *source, number.alias("_k"))
+        numbered.schema  # noqa: B018  fails if there is no such column
+    except AnalysisException:
+        numbered = df.select(*df.columns, F.lit("").alias("_file"), F.shiftright(number, 33).alias("_block"), number.alias("_k"))
+    numbered = materialize(numbered, "numbered")
+    blocks = numbered.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
+    run = prefix_sums(blocks, [F.asc("_file"), F.asc("_block")], {"_upto": F.col("_n")}, totals=False)
+    shifts = run.select("_file", "_block", (F.col("_upto") - F.col("_n") - F.col("_first")).alias("_shift"))
+    return numbered.join(shifts, ["_file", "_block"]).select(*df.columns, (F.col("_k") + F.col("_shift")).alias(ROW_ID))
 
 
 def prefix(df: DataFrame, rows: int) -> DataFrame:
@@ -64,7 +74,7 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     unknown = [c for c in columns if c not in PROCESSED_SCHEMA.names]
     if unknown or not columns:
         raise ContractError(f"undeclared columns: {unknown}")
-    return spark.read.schema(PROCESSED_SCHEMA).parquet(path).select(*columns)
+    return missing_to_null(spark.read.schema(PROCESSED_SCHEMA).parquet(path).select(*columns))
 
 
 def to_pandas(df: DataFrame, columns: Sequence[str], most_rows: int):
@@ -110,6 +120,41 @@ def convert_csv(spark: SparkSession, source: str, destination: str, row_limit: i
         raise
 
 
+def cached_parquet(spark: SparkSession, source: str, destination: str) -> dict:
+    """The converted table; one that is there is used again if it has as many rows as the source, else
+    it is replaced."""
+    store = Store(spark)
+    if store.exists(destination):
+        rows = spark.read.parquet(destination).count()
+        if rows == read_csv_typed(spark, source).count():
+            return {"rows": rows, "reused": True}
+        store.delete(destination)
+    return {"rows": convert_csv(spark, source, destination)["rows"], "reused": False}
+
+
+def layout(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
+    """File, rows and codec of every row group, from the footers (a few numbers for each file)."""
+    sc = spark.sparkContext
+    hadoop, parquet, conf = sc._jvm.org.apache.hadoop.fs, sc._jvm.org.apache.parquet.hadoop, sc._jsc.hadoopConfiguration()
+    found = []
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.parquet").load(path)
+    for r in files.select("path").orderBy("path").toLocalIterator():
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(hadoop.Path(r["path"]), conf))
+        try:
+            for block in reader.getFooter().getBlocks():
+                codecs = {str(c.getCodec()) for c in block.getColumns()}
+                found.append((r["path"], int(block.getRowCount()), ",".join(sorted(codecs))))
+        finally:
+            reader.close()
+    return found
+
+
+def require_layout(spark: SparkSession, path: str, codec: str = "ZSTD", most_rows: int = ROW_GROUP) -> None:
+    wrong = [x for x in layout(spark, path) if x[1] > most_rows or x[2] != codec]
+    if wrong:
+        raise ContractError(f"row groups of another size or codec: {wrong[:3]}")
+
+
 def semantic_digest(df: DataFrame, key: str = ROW_ID) -> DataFrame:
     """One row for each column: non-missing values, and the exclusive-or and a folded sum of hashes of
     key and value.  It depends on neither the order nor the batches of the rows."""
@@ -121,10 +166,11 @@ def semantic_digest(df: DataFrame, key: str = ROW_ID) -> DataFrame:
 
 
 def validate_processed(spark: SparkSession, path: str, expected_rows: int | None = None, expected_digest: Sequence | None = None) -> dict:
-    """Schema, dense ids and, if given, row count and digest of a processed table."""
+    """Schema, row groups, codec, dense ids and, if given, row count and digest of a processed table."""
     df = spark.read.parquet(path)
     if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in PROCESSED_SCHEMA]:
         raise ContractError("the schema differs from the declared one")
+    require_layout(spark, path)
     found = gates.identity_summary(df).first()
     if not found["dense_ids"] or (expected_rows is not None and found["rows"] != expected_rows):
         raise ContractError(f"row ids are not dense or rows are missing: {found.asDict()}")
@@ -134,12 +180,6 @@ def validate_processed(spark: SparkSession, path: str, expected_rows: int | None
     return {"rows": found["rows"], "digest": digest}
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of every file below a path, computed where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 @dataclass(frozen=True)
 class Selector:
     """Where the source and the processed table are and what they must be."""
@@ -165,9 +205,15 @@ class Selector:
 
 
 def open_processed(spark: SparkSession, selector: Selector) -> DataFrame:
-    """The processed table, only if its files have the pinned digest."""
-    if selector.sha256 is not None:
-        found = file_digests(spark, selector.processed).where("path like '%.parquet'").orderBy("path").select("sha256").collect()
-        if selector.sha256 not in {r["sha256"] for r in found}:
-            raise ContractError("the processed files do not have the pinned digest")
-    return spark.read.schema(PROCESSED_SCHEMA).parquet(selector.processed)
+    """The processed table, only if its files are exactly those of the pinned digest
+    (:func:`runs.table_digest`) and it has the declared schema."""
+    if selector.sha256 is None:
+        raise ContractError("the selector pins no digest")
+    if table_digest(spark, selector.processed) != selector.sha256:
+        raise ContractError("the processed files do not have the pinned digest")
+    df = spark.read.parquet(selector.processed)
+    if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in PROCESSED_SCHEMA]:
+        raise ContractError("the schema differs from the declared one")
+    if selector.rows is not None and df.count() != selector.rows:
+        raise ContractError("the processed table has another number of rows")
+    return df

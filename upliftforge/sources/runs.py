@@ -11,6 +11,7 @@ import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..roles import PROHIBITED_LABELS, ContractError
 
@@ -70,6 +71,24 @@ def check_language(text: str) -> None:
         raise ContractError(f"labels that are not used: {used}")
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """SHA-256 and size of every file below a path, computed where the files are read (a file is one row,
+    so it must be below 2 GB)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def table_digest(spark: SparkSession, path: str, buckets: int = 1024) -> str:
+    """One SHA-256 of the names and digests of all Parquet files of a table: a file that is changed, added or
+    taken away changes it.  Names are hashed into buckets, so that no row lists more than a share of them."""
+    files = file_digests(spark, path).where("path like '%.parquet'").select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    line = F.concat_ws(":", "name", "sha256")
+    joined = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    each = files.groupBy(F.pmod(F.xxhash64("name"), F.lit(buckets)).alias("bucket")).agg(F.sha2(joined, 256).alias("digest"))
+    rows = each.orderBy("bucket").collect()  # a row for each bucket at most
+    return hashlib.sha256("\n".join(f"{r['bucket']}:{r['digest']}" for r in rows).encode()).hexdigest()
+
+
 class Run:
     """Write-once artifacts of one run; closed by its manifest."""
 
@@ -105,7 +124,7 @@ class Run:
         if self.store.exists(path):
             raise ContractError(f"{path} exists")
         df.write.mode("errorifexists").parquet(path)
-        self.written[name] = "table"
+        self.written[name] = table_digest(self.spark, path)
 
     def finish(self, status: str = "COMPLETE", facts: Mapping | None = None) -> dict:
         """Write the manifest last; after it nothing can be added."""
