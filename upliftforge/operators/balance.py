@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, stack
-from ..plans.prefix import exact_quantiles, prefix_sums
+from ..plans.prefix import prefix_sums
 from ..roles import FEATURES, QUANTILES, TREATMENT
-from .profile import unpivot
+from .profile import unpivot, value_profile
 
 CONSTANT, ZERO_SD, TOO_FEW, DEFINED = "UNDEFINED_GLOBAL_CONSTANT", "UNDEFINED_ZERO_POOLED_SD", "UNDEFINED_INSUFFICIENT_NONMISSING_SUPPORT", "DEFINED"
 
@@ -25,14 +25,15 @@ def arm_moments(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
 def smd_balance(df: DataFrame, features: Sequence[str] = FEATURES, with_shifts: bool = True) -> DataFrame:
     """Signed and absolute SMD with equal-arm weighting, variance ratio, status and, unless they are not
     wanted, the shifts of the arms' quantiles."""
-    arm = lambda f, a: F.when(F.col(TREATMENT) == a, F.col(f))
-    parts = {"n": F.count, "mean": F.avg, "variance": F.var_samp, "min": F.min, "max": F.max}
-    wide = df.agg(F.count_if(F.col(TREATMENT) == 0).alias("rows0"), F.count_if(F.col(TREATMENT) == 1).alias("rows1"), *[fn(arm(f, a)).alias(f"{k}{a}_{f}") for f in features for k, fn in parts.items() for a in (0, 1)])
-    rows = stack(wide, ["rows0", "rows1"], features, {f"{k}{a}": f"{k}{a}_{{}}" for k in parts for a in (0, 1)})
     if with_shifts:
-        arms = exact_quantiles(unpivot(df, [TREATMENT], features), QUANTILES, ["feature", TREATMENT])
-        sides = arms.groupBy("feature").agg(*[F.max(F.when(F.col(TREATMENT) == a, F.col("q"))).alias(f"q{a}") for a in (0, 1)])
-        rows = rows.join(F.broadcast(sides), "feature", "left")  # a row for each feature
+        each = value_profile(df, [TREATMENT], features, QUANTILES).withColumnRenamed("n", "rows").withColumnRenamed("non_missing", "n")
+    else:
+        parts = {"n": F.count, "mean": F.avg, "variance": F.var_samp, "min": F.min, "max": F.max}
+        wide = df.groupBy(TREATMENT).agg(F.count("*").alias("rows"), *[fn(f).alias(f"{k}_{f}") for f in features for k, fn in parts.items()])
+        each = stack(wide, [TREATMENT, "rows"], features, {k: f"{k}_{{}}" for k in parts})
+    measures = ["rows", "n", "mean", "variance", "min", "max", *["q"] * with_shifts]
+    rows = each.groupBy("feature").agg(*[F.max(F.when(F.col(TREATMENT) == a, F.col(k))).alias(f"{k}{a}") for k in measures for a in (0, 1)])  # two rows a feature
+    rows = rows.withColumns({f"{k}{a}": F.coalesce(f"{k}{a}", F.lit(0)) for k in ("rows", "n") for a in (0, 1)})
     sd = F.sqrt((F.col("variance1") + F.col("variance0")) / 2)
     constant = (F.col("min0") == F.col("max0")) & (F.col("min1") == F.col("max1")) & (F.col("min0") == F.col("min1"))
     status = F.when((F.col("n0") < 2) | (F.col("n1") < 2), TOO_FEW).when((sd == 0) & constant, CONSTANT).when(sd == 0, ZERO_SD).otherwise(DEFINED)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, stack
-from ..plans.prefix import exact_quantiles
+from ..plans.prefix import exact_quantiles, prefix_sums, quantile_array, quantile_ends
 from ..roles import AUDIT_ONLY, FEATURES, OUTCOME, QUANTILES, ROW_ID, SECONDARY, TREATMENT
 
 
@@ -77,14 +77,26 @@ def distinct_counts(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFr
     return values.groupBy("feature").agg(F.count("value").alias("distinct"), ratio(F.count("value"), F.sum("n")).alias("distinct_share"))
 
 
+def value_profile(df: DataFrame, keys: Sequence[str], features: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """``keys, feature, n, non_missing, mean, variance, min, max, q`` of every feature from one pass over the
+    rows: values are counted, and the rest is read off the counts, written once in their order."""
+    group, present = [*keys, "feature"], F.col("value").isNotNull()
+    counts = unpivot(df, keys, features).groupBy(*group, "value").agg(F.count("*").alias("_c"))
+    run = prefix_sums(counts, [F.asc("value")], {"_upto": F.when(present, F.col("_c")).otherwise(0), "_gone": F.when(present, 0).otherwise(F.col("_c"))}, group)
+    known, gone = F.col("total__upto"), F.col("total__gone")
+    rows = run.groupBy(*group, "total__upto", "total__gone").agg(
+        *quantile_ends(probabilities, present), (F.sum(F.col("_c") * F.col("value")) / known).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
+    rows = rows.select(*group, (known + gone).alias("n"), known.alias("non_missing"), "mean", "min", "max", quantile_array(probabilities).alias("q"))
+    means = F.broadcast(rows.select(*group, "mean"))  # a row for each feature and key
+    spread = run.where(present).join(means, group).groupBy(*group).agg(F.sum(F.col("_c") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean"))).alias("_s"))
+    return rows.join(F.broadcast(spread), group, "left").withColumn("variance", F.try_divide(F.col("_s"), F.col("non_missing") - 1)).drop("_s")
+
+
 def describe(df: DataFrame, features: Sequence[str] = FEATURES, by: str | None = None) -> DataFrame:
     """Rows, missing, mean, sample deviation, range and quartiles of each feature, by arm if asked."""
     keys = [by] if by else []
-    parts = {"non_missing": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
-    wide = [F.count("*").alias("n")] + [fn(f).alias(f"{name}_{f}") for f in features for name, fn in parts.items()]
-    rows = stack(df.groupBy(*keys).agg(*wide), [*keys, "n"], features, {k: f"{k}_{{}}" for k in parts})
-    quartiles = exact_quantiles(unpivot(df, keys, features), (0.25, 0.5, 0.75), [*keys, "feature"])
-    rows = rows.join(F.broadcast(quartiles), [*keys, "feature"], "left")  # a row for each feature and arm
+    rows = value_profile(df, keys, features, (0.25, 0.5, 0.75)).withColumn("sd", F.sqrt("variance"))
     q = lambda k: F.element_at("q", k)
     return rows.select(*keys, "feature", "n", "non_missing", (F.col("n") - F.col("non_missing")).alias("missing"), "mean", "sd", "min", "max", q(1).alias("q25"), q(2).alias("q50"), q(3).alias("q75"))
 

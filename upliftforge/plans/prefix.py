@@ -55,15 +55,25 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], by: Seque
     by = list(by)
     counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     run = prefix_sums(counts, [F.asc(value)], {"_upto": F.col("_c")}, by)
-    covers = lambda rank: F.max(F.when((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col(value)))
-    picked = []
-    for k, p in enumerate(probabilities):
-        at = (F.col("total__upto") - 1) * F.lit(float(p))
-        picked += [covers(F.floor(at)).alias(f"_low{k}"), covers(F.ceil(at)).alias(f"_high{k}")]
-    rows = run.groupBy(*by, "total__upto").agg(*picked)
+    rows = run.groupBy(*by, "total__upto").agg(*quantile_ends(probabilities, F.lit(True), value))
+    return rows.select(*by, quantile_array(probabilities).alias("q"))
+
+
+def _place(p: float) -> Column:
+    return (F.col("total__upto") - 1) * F.lit(float(p))
+
+
+def quantile_ends(probabilities: Sequence[float], present: Column, value: str = "value") -> list[Column]:
+    """Aggregates that pick the two neighbours of each quantile from values with counts ``_c`` and running
+    counts ``_upto``."""
+    covers = lambda rank: F.max(F.when(present & (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col(value)))
+    return [covers(edge(_place(p))).alias(f"_{name}{k}") for k, p in enumerate(probabilities) for name, edge in (("low", F.floor), ("high", F.ceil))]
+
+
+def quantile_array(probabilities: Sequence[float]) -> Column:
+    """The quantiles, by linear interpolation between the picked neighbours."""
     ends = []
     for k, p in enumerate(probabilities):
-        at = (F.col("total__upto") - 1) * F.lit(float(p))
-        low, high = F.col(f"_low{k}"), F.col(f"_high{k}")
+        at, low, high = _place(p), F.col(f"_low{k}"), F.col(f"_high{k}")
         ends.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
-    return rows.select(*by, F.array(*ends).alias("q"))
+    return F.array(*ends)
