@@ -466,6 +466,22 @@ def test_word_hashes():
     assert ngrams.present("a" * 3_000_000)[0] == 1
 
 
+def test_very_long_texts(spark):
+    rnd = random.Random(21)
+    long = "\n".join(f"line {k} {prose(rnd, 10)}" for k in range(20_000))
+    docs = [(1, long, "s"), (2, long + "\na tail of its own", "s"), (3, "x" * 1_000_000, "s"), (4, prose(rnd, 80), "s")]
+    df = frame(spark, docs)
+    lines = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert [(lines[i].n_lines, lines[i].n_deleted) for i in (1, 2, 3, 4)] == [(20_000, 0), (20_001, 20_000), (1, 0), (1, 0)]
+    assert lines[1].text == long and lines[2].text == "a tail of its own" and lines[3].text == docs[2][1]
+    found = {r.doc_id: r for r in quality_rules.score_documents(df).collect()}
+    assert all(found[i].n_words == len(t.split()) and found[i].word_chars == len("".join(t.split())) for i, t, _ in docs)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in importance.resample(df, labels).collect()) == [1, 2, 3, 4]
+    rated = mixing.mix(df, labels).collect()
+    assert sorted(r.doc_id for r in rated) == [1, 2, 3, 4] and all(np.isfinite(r.rate) and r.rate >= 0 for r in rated)
+
+
 # Columns that are called like helpers
 
 CLASHES = ["id", "th", "_id", "_th", "drop", "drop_id", "drop_th", "_drop", "_drop_id", "_drop_th", "kept", "_kept", "copies", "_copies", "mixed", "_mixed", "rejected", "_rejected", "n_lines", "n_deleted", "lines", "words", "fp", "root", "a.b", "col"]
