@@ -1,5 +1,6 @@
 """Ingest, run artifacts, streaming, and fitted models."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,15 @@ def test_causal_forest_finds_the_effect(spark):
         forest.fit(df.limit(0))
 
 
+def test_singular_systems_take_the_pseudo_inverse(spark):
+    df = effect_frame(spark, 4)
+    for t, y, ty in ((4.0, 2.0, 2.0), (0.0, 3.0, 0.0), (2.0, 2.0, 2.0)):
+        nodes = spark.createDataFrame([(0, 0, -1, 0.0, -1, -1, 4.0, t, y, ty, t, 4.0 - t)], forest.LEAF_SCHEMA)
+        m = t / 4
+        expected = (np.linalg.pinv([[m, m], [m, 1.0]]) @ [ty / 4, y / 4])[0]
+        assert [r.tau for r in forest.predict(df, nodes).collect()] == pytest.approx([expected] * 4)
+
+
 def test_learners(spark):
     df = effect_frame(spark, 600)
     config = learners.GbmConfig(rounds=2, depth=2)
