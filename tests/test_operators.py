@@ -242,6 +242,34 @@ def test_bootstrap_counts(spark):
     assert few.finite == 1 and few.low is None
 
 
+def test_ranking_near_points_equals_ranking(spark):
+    """Counts by bucket and the rows near kept positions give the curve of the whole ranking: few rows, many,
+    controls only at the end, none at all, one bucket that holds most rows."""
+    rnd, rows = random.Random(8), []
+    shapes = {0: (90, 0.5), 1: (2000, 0.15), 2: (1500, 0.0), 3: (400, 0.0), 4: (3000, 0.5), 5: (1, 0.0), 6: (160, 0.9)}
+    for draw, (n, share) in shapes.items():
+        for i in range(n):
+            score = 0.5 if draw == 4 and i % 3 else rnd.random()
+            control = rnd.random() < share or (draw == 2 and score < 0.01)
+            rows.append((i, score, int(not control), int(rnd.random() < 0.3), draw))
+    df = spark.createDataFrame(rows, f"{ROW_ID} long, score double, {TREATMENT} long, {OUTCOME} long, draw int")
+    whole = ranking.qini_curve(df, ["draw"]).collect()
+    for buckets in (1, 40, 700):
+        run = ranking.ranked_near_points(df, F.floor((1 - F.col("score")) * buckets), [F.desc("score"), F.asc(ROW_ID)], ["draw"])
+        assert sorted(map(tuple, ranking.curve_points(run, ["draw"]).collect())) == sorted(map(tuple, whole))
+    assert run.where("draw = 1").count() < 1500
+
+
+def test_bootstrap_methods_share_draws(spark):
+    df = scored_frame(spark, good_rows())
+    both = df.withColumn("method", F.lit("a")).union(df.withColumn("score", -F.col("score")).withColumn("method", F.lit("b")))
+    got = resample.bootstrap_qini(both, 4, methods=["method"]).collect()
+    alone = {r.draw: r.qini_area for r in resample.bootstrap_qini(df, 4).collect()}
+    assert len(got) == 8 and {r.draw: r.qini_area for r in got if r.method == "a"} == pytest.approx(alone)
+    ends = {k: {r.draw: r.theoretical_random for r in got if r.method == k} for k in "ab"}
+    assert ends["a"] == pytest.approx(ends["b"])
+
+
 def test_binomial_ranks_and_actions():
     r = resample.binomial_ranks(2000, 0.95)
     assert r["lower_rank"] < 1900 < r["upper_rank"] and not r["lower_clipped"] and not r["upper_clipped"]

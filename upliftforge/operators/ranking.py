@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, ratio
 from ..plans.prefix import prefix_sums
+from ..plans.store import materialize
 from ..roles import CURVE_POINTS, K_GRID, K_LABELS, MIN_ROWS, OUTCOME, ROW_ID, TREATMENT
 from .gates import require_rankable
 
@@ -43,6 +44,43 @@ def ranked(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None)
     return prefix_sums(slim, [F.desc("score"), F.asc(ROW_ID)], sums, by)
 
 
+def bucket_count(rows: Column) -> Column:
+    """So many buckets of the ranking that their counts and the rows near kept positions are about as many."""
+    return F.greatest(F.lit(1).cast("long"), F.floor(F.sqrt(2 * CURVE_POINTS * rows)))
+
+
+def ranked_near_points(rows: DataFrame, bucket: Column, order: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """What :func:`ranked` gives, but only for rows that :func:`curve_points` may keep or needs to place them.
+
+    For very many rankings of the same rows.  ``bucket`` must not fall along ``order``, which may leave rows
+    with equal treatment and outcome tied.  Rows are counted by bucket first; only those of buckets
+    in which a kept position can lie are shuffled and ranked, so that of ``n`` rows a ranking some multiple of
+    the root of ``n`` is moved."""
+    t, y = F.col(TREATMENT), F.col(OUTCOME)
+    sums = {"m": F.lit(1).cast("long"), "n1": t, "n0": 1 - t, "y1": t * y, "y0": (1 - t) * y}
+    tagged = rows.withColumn("_bucket", bucket)
+    counts = tagged.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_b_{k}") for k, c in sums.items()])
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumns({f"_o_{k}": F.coalesce(F.sum(f"_b_{k}").over(before), F.lit(0)) for k in sums} | {"n": F.sum("_b_m").over(whole)})
+    begin, end, n = F.col("_o_m") + 1, F.col("_o_m") + F.col("_b_m"), F.col("n")
+    # The first valid prefix ends in the first bucket with a control row, at one of the ranks low to high.
+    offsets = offsets.withColumns({f"_{k}": F.min(F.when(F.col("_b_n0") > 0, c)).over(whole) for k, c in (("low", begin), ("high", end))})
+    low, high = F.col("_low"), F.col("_high")
+    nearest = F.greatest(F.lit(0), F.ceil(ratio((begin - 2 - high) * (CURVE_POINTS - 1), n - high)))  # first position that can be as late as the bucket
+    near = low + nearest * (n - low) / (CURVE_POINTS - 1) - 2 <= end
+    wanted = (end == n) | (low == begin) | (n - high <= CURVE_POINTS) | near
+    points = materialize(offsets.where(F.coalesce(wanted, F.lit(False))).select(*by, "_bucket", "n", *[f"_o_{k}" for k in sums]), "points")
+
+    local = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = tagged.join(points, [*by, "_bucket"]).select(
+        *by, "n", (F.row_number().over(local) + F.col("_o_m")).cast("long").alias("r"),
+        *[(F.sum(c).over(running) + F.col(f"_o_{k}")).alias(k) for k, c in sums.items() if k != "m"],
+    )
+    return materialize(run, "near")
+
+
 def qini_gain() -> Column:
     return F.col("y1") - F.col("y0") * ratio(F.col("n1"), F.col("n0"))
 

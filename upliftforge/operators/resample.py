@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_uniform, ratio
 from ..plans.prefix import prefix_sums
+from ..plans.store import materialize
 from ..roles import BOOTSTRAP_DRAWS, OUTCOME, RANDOM_DRAWS, ROW_ID, SEED, TREATMENT, ContractError
-from .ranking import curve_points, qini_summary, ranked, summarize_curve
+from .ranking import bucket_count, curve_points, ranked_near_points, summarize_curve
 
 
 def random_scores(df: DataFrame, seed: int = SEED) -> DataFrame:
@@ -19,31 +20,51 @@ def random_scores(df: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def random_reference(df: DataFrame, draws: int = RANDOM_DRAWS, seed: int = SEED) -> DataFrame:
-    """Qini summary of ``draws`` random rankings; the theoretical line is the same in all."""
-    each = df.select(ROW_ID, TREATMENT, OUTCOME, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    """Qini summary of ``draws`` random rankings; the theoretical line is the same in all.
+
+    Scores are uniform, so cutting their range gives even buckets without sampling or a sort."""
+    rows = materialize(_spread(df.select(ROW_ID, TREATMENT, OUTCOME)), "rows")
+    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     scored = each.withColumn("score", hash_uniform(F.lit("draw"), F.lit(str(seed)), F.col("draw"), F.col(ROW_ID)))
-    return qini_summary(scored, ["draw"]).drop("points")
+    bucket = F.floor((1 - F.col("score")) * bucket_count(F.lit(rows.count())))
+    run = ranked_near_points(scored, bucket, [F.desc("score"), F.asc(ROW_ID)], ["draw"])
+    return summarize_curve(curve_points(run, ["draw"]), ["draw"]).drop("points")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all tasks, because each is about to be repeated for every draw."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _picks(df: DataFrame, draws: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's place ``r`` in its arm, and the picked places, as many for each draw as the arm has rows."""
+    placed = prefix_sums(df.select(ROW_ID, TREATMENT), [F.asc(ROW_ID)], {}, [TREATMENT])
+    each = _spread(placed.select(TREATMENT, "r", "n")).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    u = hash_uniform(F.lit("boot"), F.lit(str(seed)), F.col("draw"), F.col(TREATMENT), F.col("r"))
+    return placed.select(TREATMENT, "r", ROW_ID), each.select("draw", TREATMENT, (F.floor(u * F.col("n")) + 1).alias("r"))
 
 
 def bootstrap_weights(df: DataFrame, draws: int = BOOTSTRAP_DRAWS, seed: int = SEED) -> DataFrame:
     """``draw, id, w``: exact multinomial resampling within arms; rows that are not drawn are left out.
 
     Each arm of ``n`` rows gives ``n`` picks of a place; the same weights serve all methods."""
-    placed = prefix_sums(df.select(ROW_ID, TREATMENT), [F.asc(ROW_ID)], {}, [TREATMENT])
-    picks = placed.select(TREATMENT, "r", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = hash_uniform(F.lit("boot"), F.lit(str(seed)), F.col("draw"), F.col(TREATMENT), F.col("r"))
-    counts = picks.select("draw", TREATMENT, (F.floor(u * F.col("n")) + 1).alias("r")).groupBy("draw", TREATMENT, "r").agg(F.count("*").alias("w"))
-    return counts.join(placed.select(TREATMENT, "r", ROW_ID), [TREATMENT, "r"]).select("draw", ROW_ID, "w")
+    placed, picks = _picks(df, draws, seed)
+    counts = picks.groupBy("draw", TREATMENT, "r").agg(F.count("*").alias("w"))
+    return counts.join(placed, [TREATMENT, "r"]).select("draw", ROW_ID, "w")
 
 
 def bootstrap_qini(scored: DataFrame, draws: int = BOOTSTRAP_DRAWS, seed: int = SEED, methods: Sequence[str] = ()) -> DataFrame:
-    """Qini summary for each draw (and method).  A row drawn ``w`` times stands ``w`` times in a row."""
-    weights = bootstrap_weights(scored.select(ROW_ID, TREATMENT).distinct() if methods else scored, draws, seed)
-    rows = scored.join(weights, ROW_ID).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
-    # copies of a row stay neighbours: a finer key keeps the order total
-    rows = rows.withColumn(ROW_ID, F.col(ROW_ID) * 64 + F.col("_copy"))
+    """Qini summary for each draw (and method).  A row drawn ``w`` times stands ``w`` times in a row.
+
+    Rows are ranked by score once; a draw's ranking is that of its picks by their rows' ranks."""
+    placed, picks = _picks(scored.select(ROW_ID, TREATMENT).distinct() if methods else scored, draws, seed)
+    once = prefix_sums(scored.select(*methods, ROW_ID, "score", OUTCOME), [F.desc("score"), F.asc(ROW_ID)], {}, methods)
+    bucket = F.floor((F.col("r") - 1) * bucket_count(F.col("n")) / F.col("n"))
+    rows = once.select(*methods, ROW_ID, OUTCOME, F.col("r").alias("_rank"), bucket.alias("_place"))
+    rows = materialize(placed.join(rows, ROW_ID).drop(ROW_ID), "placed")
     by = ["draw", *methods]
-    return summarize_curve(curve_points(ranked(rows, by), by), by).drop("points")
+    run = ranked_near_points(picks.join(rows, [TREATMENT, "r"]).drop("r"), F.col("_place"), [F.asc("_rank")], by)
+    return summarize_curve(curve_points(run, by), by).drop("points")
 
 
 def percentile_interval(draws: DataFrame, value: str = "qini_above_random", least_finite: float = 0.95, expected: int = BOOTSTRAP_DRAWS) -> DataFrame:
