@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, line_dedup, mixing, mtree, pii, quality_rules
+from . import alignment, fingerprints, importance, line_dedup, mixing, mtree, pii, quality_rules, spelling
 from .common import store_dir, table, tokenizer_path
 from .pieces import encode_documents
 from .secrets import scan_secrets
@@ -57,6 +57,18 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -69,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_importance_resampling": op10_importance_resampling,
+        "op11_fingerprints": op11_fingerprints,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
