@@ -20,6 +20,7 @@ count as often; null ids stay; extra columns are ignored; an empty table gives a
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, join_checked, materialize, release
 
 MARK = "▁"
-BLOCK_BYTES = 24 << 20
-CHUNK_SEGMENTS, CHUNK_CHARS = 60_000, 2 << 20
+BLOCK_BYTES = 16 << 20
+CHUNK_SEGMENTS, CHUNK_CHARS = 40_000, 2 << 20
 #: White space up to the next word belongs to that word, unless it begins with neither space nor line feed.
 SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 
@@ -82,7 +83,8 @@ class Aligner:
         self.mark = b.piece_to_id(MARK)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(k) else b"" if b.is_control(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
-        self.names = [str(k) for k in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.width = max(len(self.a_bytes), len(self.b_bytes))
+        self.written = [f"{k}{sign}" for sign in (",", "|", ";", "") for k in range(self.width)]
 
     def encode_a(self, segments: list[str]) -> list[list[int]]:
         return [e.ids for at in range(0, len(segments), 2000) for e in self.a.encode_batch_fast(segments[at : at + 2000], add_special_tokens=False)]
@@ -93,31 +95,41 @@ class Aligner:
         found = self.b.encode([s[1:] if own else s for s, own in zip(segments, spaced, strict=True)], num_threads=1)
         return [ids if own else ids[1:] for ids, own in zip(([self.mark] if s == " " else f for s, f in zip(segments, found, strict=True)), spaced, strict=True)]
 
+    def _sound(self, segments: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether both tokenizers give a segment back; all at once, and one by one only if some don't."""
+        raw = [s.encode() for s in segments]
+        tables = ((self.a_bytes, a), (self.b_bytes, b))
+        if all(b"".join([table[i] for i in itertools.chain.from_iterable(ids)]) == b"".join(raw) for table, ids in tables):
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            ends = [np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) for _, ids in tables]
+            totals = [np.concatenate([[0], np.cumsum(size[np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(e[-1]))])])[e] for (_, ids), size, e in zip(tables, (self.a_size, self.b_size), ends, strict=True)]
+            if all((t == np.cumsum(sizes)).all() for t in totals):
+                return np.ones(len(segments), bool)
+        return np.array([all(b"".join([table[i] for i in ids[k]]) == raw[k] for table, ids in tables) for k in range(len(segments))], bool)
+
     def align(self, segments: list[str]) -> _Aligned:
         """Counts, group strings and links of distinct segments."""
         a, b = self.encode_a(segments), self.encode_b(segments)
-        sound = np.empty(len(segments), bool)
-        for k, s in enumerate(segments):
-            raw = s.encode()
-            sound[k] = b"".join([self.a_bytes[i] for i in a[k]]) == raw and b"".join([self.b_bytes[i] for i in b[k]]) == raw
-            if not sound[k]:
-                a[k] = b[k] = ()
+        sound = self._sound(segments, a, b)
+        for k in np.nonzero(~sound)[0].tolist():
+            a[k] = b[k] = ()
         out = _Aligned(sound, *(np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)))
-        ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((a, out.n_a), (b, out.n_b)))
+        ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((a, out.n_a), (b, out.n_b)))
         cuts, links = _overlaps(_intervals(ids_a, self.a_size, out.n_a), _intervals(ids_b, self.b_size, out.n_b))
         out.link_segments, out.links = links["segment"].to_numpy(), links["a"].to_numpy() << 32 | links["b"].to_numpy()
-        # The groups in order: tokens from the end of the group before up to the common end.
-        names, groups, a_from, b_from = self.names, [], 0, 0
-        name_a, name_b = [names[i] for i in ids_a.tolist()], [names[i] for i in ids_b.tolist()]
-        for a_to, b_to in zip(cuts["a_to"].to_pylist(), cuts["b_to"].to_pylist(), strict=True):
-            groups.append(f"{','.join(name_a[a_from:a_to])}|{','.join(name_b[b_from:b_to])}")
-            a_from, b_from = a_to, b_to
-        of = np.searchsorted(np.cumsum(out.n_a), cuts["a_to"].to_numpy(), "left")
-        out.n_groups = np.bincount(of, minlength=len(segments)).astype(np.int64)
-        at = 0
-        for n in out.n_groups.tolist():
-            out.groups.append(";".join(groups[at : at + n]).encode())
-            at += n
+        a_to, b_to = cuts["a_to"].to_numpy(), cuts["b_to"].to_numpy()
+        out.n_groups = np.bincount(np.searchsorted(np.cumsum(out.n_a), a_to, "left"), minlength=len(segments)).astype(np.int64)
+        # Tokens in the order of groups, A's before B's, each written with what follows it.
+        sign_a, sign_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        sign_a[a_to - 1], sign_b[b_to - 1] = 1, 2
+        sign_b[np.cumsum(out.n_b)[out.n_b > 0] - 1] = 3
+        group_a, group_b = (np.searchsorted(to, np.arange(len(ids)), "right") for to, ids in ((a_to, ids_a), (b_to, ids_b)))
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        written = np.concatenate([ids_a + self.width * sign_a, ids_b + self.width * sign_b])[order].tolist()
+        words, at = [self.written[k] for k in written], 0
+        for to in np.cumsum(out.n_a + out.n_b).tolist():
+            out.groups.append("".join(words[at:to]).encode())
+            at = to
         return out
 
 
@@ -205,8 +217,10 @@ class _Block:
         self.size += len(text or "")
 
     def rows(self, aligner: Aligner) -> pa.RecordBatch:
-        done = [aligner.align(c) for c in _chunks(list(self.known))]
+        segments = list(self.known)
         self.known = {}
+        done = [aligner.align(c) for c in _chunks(segments)]
+        del segments
         s = _Aligned.joined(done) if done else _Aligned(*(np.zeros(0, t) for t in (bool, np.int64, np.int64)))
         del done
         n_links = np.bincount(s.link_segments, minlength=len(s.sound)).astype(np.int64)
