@@ -10,7 +10,6 @@ from upliftforge.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("orders", "customer", "lineitem")
-SLOW = {"response_model", "tlearner_model", "xlearner_model", "treatment_predictability", "causal_forest", "leaf_support", "jacobian_support"}
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +34,7 @@ def test_matches_sql(spark, duck, name):
     assert got == normal(found.columns, found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_rows_only(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 

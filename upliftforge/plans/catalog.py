@@ -994,10 +994,8 @@ def streaming_joint_counts(spark, sf_dir):
 
 # Fitted models: rows are checked, not values
 
-#: The reference's settings: 31 leaves are trees of depth 5 here, its 255 bins are LightGBM's default.
-BOOSTED = learners.GbmConfig(rounds=2000, depth=5, bins=255, patience=50)
-EFFECT = learners.GbmConfig(rounds=100, depth=5, bins=255)
-FOREST = forest.ForestConfig(trees=100, depth=None)
+BOOSTED = learners.GbmConfig()
+FOREST = forest.ForestConfig()
 
 
 def development(spark, sf_dir):
@@ -1021,12 +1019,12 @@ def tlearner_model(spark, sf_dir):
 @query("xlearner_model")
 def xlearner_model(spark, sf_dir):
     train, validation = development(spark, sf_dir)
-    return ranking.qini_summary(learners.x_learner(train, validation, BOOSTED, validation, EFFECT).withColumnRenamed("tau", "score"))
+    return ranking.qini_summary(learners.x_learner(train, validation, BOOSTED, validation).withColumnRenamed("tau", "score"))
 
 
 @query("treatment_predictability")
 def treatment_predictability(spark, sf_dir):
-    return learners.treatment_predictability(population(spark, sf_dir), 5, EFFECT)  # 100 rounds, as in the reference
+    return learners.treatment_predictability(population(spark, sf_dir), 5)
 
 
 @query("causal_forest")
