@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import hash_uniform, ratio
+from ..functions.scalar import hash_key, hash_uniform, ratio
 from ..plans.prefix import prefix_sums
 from ..plans.store import materialize
 from ..roles import BOOTSTRAP_DRAWS, OUTCOME, RANDOM_DRAWS, ROW_ID, SEED, TREATMENT, ContractError
@@ -36,34 +36,86 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _picks(df: DataFrame, draws: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Each row's place ``r`` in its arm, and the picked places, as many for each draw as the arm has rows."""
-    placed = prefix_sums(df.select(ROW_ID, TREATMENT), [F.asc(ROW_ID)], {}, [TREATMENT])
-    each = _spread(placed.select(TREATMENT, "r", "n")).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = hash_uniform(F.lit("boot"), F.lit(str(seed)), F.col("draw"), F.col(TREATMENT), F.col("r"))
-    return placed.select(TREATMENT, "r", ROW_ID), each.select("draw", TREATMENT, (F.floor(u * F.col("n")) + 1).alias("r"))
+#: An arm's unit interval is halved until about so many picks fall in a part.
+PART_PICKS = 128
+TASK_PICKS = 1 << 23
+WORD = 52  # bits of a hash that are used
+
+
+def part_levels(n: int) -> int:
+    return max(0, math.ceil(math.log2(n / PART_PICKS))) if n else 0
+
+
+def _heads(c: Column, *key) -> Column:
+    """Heads among ``c`` fair coins: the ones among as many bits of hashes of ``key`` and a counter."""
+    words = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(c - 1, F.lit(0)) / WORD))
+    word = lambda i: F.conv(F.substring(hash_key(*key, i), 1, 13), 16, 10).cast("long")
+    unused = lambda i: (WORD - F.least(F.lit(WORD), c - WORD * i)).cast("int")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda total, i: total + F.bit_count(F.call_function("shiftright", word(i), unused(i))))
+
+
+def part_counts(spark, arms: Mapping[int, int], draws: int = BOOTSTRAP_DRAWS, seed: int = SEED) -> tuple[DataFrame, int]:
+    """``draw, treatment, part, c``: how many of an arm's ``n`` uniform picks fall in each of ``2**levels`` equal parts of the unit
+    interval, and the number of levels.  The picks of an interval go to its halves as fair coins do, so counts are
+    exactly multinomial and add up to ``n``; every row is made from the row of the whole arm, without a shuffle."""
+    levels = part_levels(max(arms.values(), default=0))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = F.array(*[F.struct(F.lit(int(t)).alias(TREATMENT), F.lit(0).cast("long").alias("part"), F.lit(int(n)).cast("long").alias("c")) for t, n in sorted(arms.items())])
+    out = spark.range(0, draws, 1, tasks).select(F.col("id").cast("int").alias("draw"), F.inline(whole))
+    for level in range(levels):
+        out = out.withColumn("_left", _heads(F.col("c"), F.lit("split"), F.lit(str(seed)), F.col("draw"), F.col(TREATMENT), F.lit(str(level)), F.col("part")))
+        halves = F.array(F.struct((F.col("part") * 2).alias("p"), F.col("_left").alias("k")), F.struct((F.col("part") * 2 + 1).alias("p"), (F.col("c") - F.col("_left")).alias("k")))
+        out = out.select("draw", TREATMENT, F.inline(halves)).select("draw", TREATMENT, F.col("p").alias("part"), F.col("k").alias("c"))
+    return out.where("c > 0"), levels
+
+
+def _picked(rows: DataFrame, by: Sequence[str], values: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """``draw``, the arm, ``by`` and ``values`` of every pick of ``rows`` (``by``, arm, place ``r`` from 1 of ``n``, ``values``).
+
+    The rows of a part, some hundred, are gathered once; the counts of the draws come to them, and picks are made where both
+    are.  So what is shuffled are the rows and a count for each draw and part, not picks."""
+    arms = {r[TREATMENT]: r["n"] for r in rows.groupBy(TREATMENT).agg(F.max("n").alias("n")).collect()}  # two rows
+    counts, levels = part_counts(rows.sparkSession, arms, draws, seed)
+    size, place = 1 << levels, F.col("r") - 1
+    first, last = (F.call_function("div", x, F.col("n")) for x in (place * size, (place + 1) * size - 1))  # a row may reach into two parts
+    spread = rows.select(*by, TREATMENT, "n", place.alias("place"), F.explode(F.sequence(first, last)).alias("part"), *values)
+    parts = spread.groupBy(*by, TREATMENT, "n", "part").agg(F.sort_array(F.collect_list(F.struct("place", *values))).alias("rows"))
+    begin, end = (F.call_function("div", x, F.lit(size).cast("long")) for x in (F.col("part") * F.col("n"), (F.col("part") + 1) * F.col("n") - 1))
+    # By number, so that small inputs are not dealt to few tasks: each count is about to become so many rows.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), draws * sum(arms.values()) // TASK_PICKS)
+    key = [TREATMENT, "part"]
+    joined = materialize(counts, "counts").repartition(tasks, *key).join(parts.repartition(tasks, *key), key).withColumns({"begin": begin, "end": end})
+    # Unrolled before it is hashed: expressions over rows are compiled, those inside arrays are not.
+    each = joined.select("draw", TREATMENT, *by, "n", "part", "begin", "end", "rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("j"))
+    u = hash_uniform(F.lit("boot"), F.lit(str(seed)), F.col("draw"), F.col(TREATMENT), F.col("part"), F.col("j"))
+    at = F.least(F.floor((F.col("part") + u) / F.lit(float(size)) * F.col("n")), F.col("end"))
+    pick = F.element_at("rows", (at - F.col("begin") + 1).cast("int"))
+    return each.select("draw", TREATMENT, *by, pick.alias("pick")).select("draw", TREATMENT, *by, *[F.col(f"pick.{v}").alias(v) for v in values])
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Each row's place ``r`` of ``n`` in its arm."""
+    return prefix_sums(df.select(ROW_ID, TREATMENT), [F.asc(ROW_ID)], {}, [TREATMENT])
 
 
 def bootstrap_weights(df: DataFrame, draws: int = BOOTSTRAP_DRAWS, seed: int = SEED) -> DataFrame:
     """``draw, id, w``: exact multinomial resampling within arms; rows that are not drawn are left out.
 
-    Each arm of ``n`` rows gives ``n`` picks of a place; the same weights serve all methods."""
-    placed, picks = _picks(df, draws, seed)
-    counts = picks.groupBy("draw", TREATMENT, "r").agg(F.count("*").alias("w"))
-    return counts.join(placed, [TREATMENT, "r"]).select("draw", ROW_ID, "w")
+    Each arm of ``n`` rows gives ``n`` picks; the same weights serve all methods."""
+    return _picked(_placed(df), [], [ROW_ID], draws, seed).groupBy("draw", ROW_ID).agg(F.count("*").alias("w"))
 
 
 def bootstrap_qini(scored: DataFrame, draws: int = BOOTSTRAP_DRAWS, seed: int = SEED, methods: Sequence[str] = ()) -> DataFrame:
     """Qini summary for each draw (and method).  A row drawn ``w`` times stands ``w`` times in a row.
 
     Rows are ranked by score once; a draw's ranking is that of its picks by their rows' ranks."""
-    placed, picks = _picks(scored.select(ROW_ID, TREATMENT).distinct() if methods else scored, draws, seed)
+    placed = _placed(scored.select(ROW_ID, TREATMENT).distinct() if methods else scored)
     once = prefix_sums(scored.select(*methods, ROW_ID, "score", OUTCOME), [F.desc("score"), F.asc(ROW_ID)], {}, methods)
     bucket = F.floor((F.col("r") - 1) * bucket_count(F.col("n")) / F.col("n"))
     rows = once.select(*methods, ROW_ID, OUTCOME, F.col("r").alias("_rank"), bucket.alias("_place"))
     rows = materialize(placed.join(rows, ROW_ID).drop(ROW_ID), "placed")
     by = ["draw", *methods]
-    run = ranked_near_points(picks.join(rows, [TREATMENT, "r"]).drop("r"), F.col("_place"), [F.asc("_rank")], by)
+    run = ranked_near_points(_picked(rows, methods, [OUTCOME, "_rank", "_place"], draws, seed), F.col("_place"), [F.asc("_rank")], by)
     return summarize_curve(curve_points(run, by), by).drop("points")
 
 

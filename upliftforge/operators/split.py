@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import hash_key
+from ..functions.scalar import hash_key, ratio
 from ..plans.prefix import prefix_sums
+from ..plans.store import materialize
 from ..roles import OUTCOME, ROW_ID, SEED, SPLITS, TREATMENT, ContractError, HeldOutAccessError
 from .profile import complete_grid, joint_counts
 
@@ -58,6 +62,88 @@ def permute_treatment(df: DataFrame, replication: int | Column = 0, blocks: Sequ
     return ranked.select(ROW_ID, F.when(F.col("r") <= F.col("total__t"), 1).otherwise(0).cast("tinyint").alias("t_perm"))
 
 
+#: Rounds of the keyed bijection, and the prime that its keys are numbers below.
+ROUNDS, PRIME = 32, (1 << 31) - 1
+
+
+def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, ...]]:
+    """Three pairs of numbers for each round, from digests of the seed."""
+    digest = lambda i: hashlib.md5(f"swap|{seed}|{i}".encode()).hexdigest() + hashlib.md5(f"or not|{seed}|{i}".encode()).hexdigest()
+    return [tuple(1 + int(digest(i)[8 * k : 8 * k + 8], 16) % (PRIME - 1) for k in range(6)) for i in range(rounds)]
+
+
+def placed_in_blocks(df: DataFrame, blocks: Sequence[str] = (), *keep: str) -> DataFrame:
+    """``id, place, n, treated, block, keep``: each row's place from 0 in its block by id, the block's rows and treated rows, and its
+    least id.  One ranking pass serves all replications."""
+    blocks, id_ = list(blocks), F.col(ROW_ID)
+    slim = df.select(ROW_ID, *blocks, TREATMENT, *keep)
+    ranked = prefix_sums(slim, [F.asc(ROW_ID)], {"_t": F.col(TREATMENT)}, blocks)
+    if blocks:
+        least = materialize(slim.groupBy(*blocks).agg(F.min(id_).alias("block")), "blocks").toDF(*[f"_k{k}" for k in range(len(blocks))], "block")
+        same = F.lit(True)
+        for k, b in enumerate(blocks):
+            same = same & F.col(b).eqNullSafe(F.col(f"_k{k}"))
+        ranked = ranked.join(least, same)
+    else:
+        ranked = ranked.withColumn("block", F.lit(0).cast("long"))
+    return materialize(ranked.select(ROW_ID, (F.col("r") - 1).alias("place"), "n", F.col("total__t").cast("long").alias("treated"), "block", *keep), "placed")
+
+
+def swap_or_not(place: np.ndarray, n: np.ndarray, block: np.ndarray, replication: int, keys: Sequence[tuple[int, ...]]) -> np.ndarray:
+    """New places: in a round a place and its mirror image about a key change sides together or not at all, by one bit for both, so
+    this is a bijection of ``[0, n)`` for any ``n``."""
+    x, e, block = place, replication % PRIME, block % PRIME
+    for a1, b1, a2, b2, a3, b3 in keys:
+        k, m = (e * a1 + b1) % PRIME, 1 + (e * a3 + b3) % PRIME % (PRIME - 1)
+        add = (e * a2 + b2) % PRIME + block
+        add = np.where(add >= PRIME, add - PRIME, add)
+        y = (k * PRIME + add) % n - x
+        y = np.where(y < 0, y + n, y)
+        x = np.where((np.maximum(x, y) % PRIME * m + add) % PRIME < (1 << 30), y, x)
+    return x
+
+
+def permuted(placed: DataFrame, replications: range, seed: int = SEED) -> DataFrame:
+    """``id, rep, t_perm``: treatment dealt anew within blocks in each replication.
+
+    A keyed bijection takes a row's place to a new one by arithmetic alone, so no replication sorts or
+    shuffles; the first ``treated`` new places are the treated ones, so counts are kept in every block, and replications do not depend on
+    those before them."""
+    keys = round_keys(seed)
+
+    def run(batches):
+        for batch in batches:
+            place, n, treated, block = (batch.column(c).to_numpy() for c in ("place", "n", "treated", "block"))
+            for rep in replications:
+                t = (swap_or_not(place, n, block, rep, keys) < treated).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([batch.column(ROW_ID), pa.array(np.full(len(t), rep, np.int32)), pa.array(t)], names=[ROW_ID, "rep", "t_perm"])
+
+    return placed.select(F.col(ROW_ID).cast("long").alias(ROW_ID), "place", "n", "treated", "block").mapInArrow(run, f"{ROW_ID} long, rep int, t_perm byte")
+
+
+def replicated_effects(df: DataFrame, replications: range, blocks: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+    """``rep, n1, y1, n0, y0, value``: the difference of outcome rates under each permutation of treatment.  Tasks send a
+    row of sums for each replication."""
+    keys = round_keys(seed)
+    names = ["rep", "n1", "y1", "n0", "y0"]
+
+    def run(batches):
+        sums = np.zeros((len(replications), 4), np.int64)
+        for batch in batches:
+            place, n, treated, block, y = (batch.column(c).to_numpy() for c in ("place", "n", "treated", "block", OUTCOME))
+            for k, rep in enumerate(replications):
+                t = swap_or_not(place, n, block, rep, keys) < treated
+                n1, y1 = int(t.sum()), int(y[t].sum())
+                sums[k] += (n1, y1, len(t) - n1, int(y.sum()) - y1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(replications, np.int32)), *map(pa.array, sums.T.copy())], names=names)
+
+    placed = placed_in_blocks(df, blocks, OUTCOME).select("place", "n", "treated", "block", F.col(OUTCOME).cast("long").alias(OUTCOME))
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partial = placed.repartition(tasks).mapInArrow(run, "rep int, n1 long, y1 long, n0 long, y0 long")  # rows are spread, each is about to be repeated
+    sums = partial.groupBy("rep").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    return sums.withColumn("value", ratio(F.col("y1"), F.col("n1")) - ratio(F.col("y0"), F.col("n0")))
+
+
 def continuation(existing: int, target: int, step: int = 2000) -> range:
     """Replication numbers to append."""
     if existing < 0 or target <= existing:

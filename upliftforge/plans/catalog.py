@@ -8,13 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import hash_uniform
 from ..operators import balance, forest, gates, joins, learners, meta, profile, ranking, resample, split
 from ..roles import FEATURES, LABELS, OUTCOME, QUANTILES, ROW_ID, TREATMENT
 from ..sources import ingest
 from ..sources.population import POPULATION_SQL, population
 from ..streaming import counts
-from .store import new_folder
+from .store import materialize, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,7 +80,7 @@ def query(name: str, sql: str | None = None):
 
 
 def with_pop(body: str, *ctes: str) -> str:
-    return "with " + ", ".join([POP, *ctes]) + " " + body
+    return ("with recursive " if any("union all" in c for c in ctes) else "with ") + ", ".join([POP, *ctes]) + " " + body
 
 
 def r(name: str, digits: int = 9):
@@ -730,11 +729,32 @@ def random_reference(spark, sf_dir):
     return rounded(resample.random_reference(validation_rows(spark, sf_dir)), 6)
 
 
-BOOT_SQL = (
-    "placed as (select *, row_number() over (partition by treatment order by _source_row_id) as place, count(*) over (partition by treatment) as arm_n from val), "
-    f"picks as (select draw::int as draw, treatment, 1 + cast(floor({uniform_sql(chr(39) + 'boot|42|' + chr(39) + ' || draw || ' + chr(39) + '|' + chr(39) + ' || treatment || ' + chr(39) + '|' + chr(39) + ' || place')} * arm_n) as bigint) as place from placed, (select unnest(range(0, 500)) as draw)), "
-    "scored as (select draw, p._source_row_id * 64 + row_number() over (partition by draw, p._source_row_id) as _source_row_id, p.treatment, conversion, f0 as score from picks k join placed p on p.treatment = k.treatment and p.place = k.place)"
-)
+def hash_sql(*parts: str) -> str:
+    return "md5(concat_ws('|', " + ", ".join(parts) + "))"
+
+
+def uniform_of_sql(*parts: str) -> str:
+    return f"('0x' || substr({hash_sql(*parts)}, 1, 13))::bigint / 4503599627370496.0::double"
+
+
+#: Picks are halved like coins down to parts of the unit interval, then placed in their part.
+BOOT_SQL = f"""placed as (select *, row_number() over (partition by treatment order by _source_row_id) as place, count(*) over (partition by treatment) as arm_n from val),
+arms as (select treatment, count(*) as arm_n from val group by treatment),
+lv as (select greatest(0, ceil(log2(max(arm_n) / {resample.PART_PICKS}.0)))::int as levels from arms),
+halves as (
+  select d::int as draw, treatment, 0 as level, 0::bigint as part, arm_n as c from arms, (select unnest(range(0, 500)) as d)
+  union all
+  select draw, treatment, level + 1, part * 2 + side, case when side = 0 then heads else c - heads end
+  from (
+    select *, list_sum(list_transform(range(0, greatest(c - 1, 0) // {resample.WORD} + 1), lambda i: bit_count(('0x' || substr({hash_sql("'split'", "'42'", "draw", "treatment", "level", "part", "i")}, 1, 13))::bigint >> ({resample.WORD} - least({resample.WORD}, c - {resample.WORD} * i))::bigint)))::bigint as heads
+    from halves, lv where level < levels
+  ), (select unnest([0, 1]) as side)
+),
+picks as (
+  select draw, treatment, least(floor((part + {uniform_of_sql("'boot'", "'42'", "draw", "treatment", "part", "j")}) / (1::bigint << levels)::double * arm_n), ((part + 1) * arm_n - 1) // (1::bigint << levels))::bigint + 1 as place
+  from (select *, unnest(range(1, c + 1)) as j from halves join lv on level = levels join arms using (treatment))
+),
+scored as (select draw, p._source_row_id * 64 + row_number() over (partition by draw, p._source_row_id) as _source_row_id, p.treatment, conversion, f0 as score from picks k join placed p on p.treatment = k.treatment and p.place = k.place)"""
 
 
 @query(
@@ -848,37 +868,99 @@ def method_comparison(spark, sf_dir):
     return rounded(meta.comparison({"ate": ranking.ate(df).select("ate"), "rows": df.agg(F.count("*").alias("rows"))})).select("method", "ate", "rows")
 
 
-# Calibration against a null distribution of a thousand replications, made of hash uniforms
+# Calibration of the effect against its distribution under permuted treatment
+
+REPLICATIONS, CONTINUED = range(0, 2000), range(2000, 2100)
+
+
+def swap_or_not_sql(replications: range, block: str = "f2") -> list[str]:
+    """Permuted treatment of all replications, a subquery for each round."""
+    p = split.PRIME
+    ctes = [
+        f"ranked as (select _source_row_id, conversion, row_number() over (partition by {block} order by _source_row_id) - 1 as place, count(*) over (partition by {block}) as n, (sum(treatment) over (partition by {block}))::bigint as treated, min(_source_row_id) over (partition by {block}) as block from pop)",
+        f"x0 as (select *, place as x, rep % {p} as e from ranked, (select unnest(range({replications.start}, {replications.stop})) as rep))",
+    ]
+    for i, (a1, b1, a2, b2, a3, b3) in enumerate(split.round_keys(42)):
+        ctes.append(
+            f"x{i + 1} as (select * replace (case when (greatest(x, y) % {p} * m + l) % {p} < {1 << 30} then y else x end as x) from "
+            f"(select *, ((k * {p} + l) % n - x + n) % n as y from (select * exclude ({'' if i == 0 else 'k, l, m, y, '}e), e, (e * {a1} + {b1}) % {p} as k, ((e * {a2} + {b2}) % {p} + block) % {p} as l, 1 + (e * {a3} + {b3}) % {p} % {p - 1} as m from x{i})))"
+        )
+    t = "(x < treated)::int"
+    ctes.append(f"effects as (select rep::int as rep, sum({t})::bigint as n1, sum({t} * conversion)::bigint as y1, sum(1 - {t})::bigint as n0, sum((1 - {t}) * conversion)::bigint as y0 from x{split.ROUNDS} group by rep)")
+    ctes.append("nulls as (select *, round(y1 / n1::double - y0 / n0::double, 9) as value from effects)")
+    return ctes
+
+
+NULLS = swap_or_not_sql(REPLICATIONS)
+OBSERVED = "observed as (select round(avg(conversion) filter (where treatment = 1) - avg(conversion) filter (where treatment = 0), 9) as o from pop)"
+
+
+def null_values(spark, sf_dir, replications=REPLICATIONS):
+    df = population(spark, sf_dir, (ROW_ID, "f2", TREATMENT, OUTCOME))
+    return rounded(split.replicated_effects(df, replications, ["f2"]))
+
 
-NULLS = f"nulls as (select {uniform_sql(chr(39) + 'null|0|' + chr(39) + ' || i')} as value from (select unnest(range(0, 1000)) as i))"
+def observed_effect(spark, sf_dir) -> float:
+    return round(ranking.ate(population(spark, sf_dir, (ROW_ID, TREATMENT, OUTCOME))).first()["ate"], 9)  # one number
 
 
-def null_values(spark):
-    return spark.range(1000).select(hash_uniform(F.lit("null"), F.lit("0"), F.col("id")).alias("value"))
+@query("permutation_replications", with_pop("select rep, n1, y1, n0, y0, value from nulls", *NULLS))
+def permutation_replications(spark, sf_dir):
+    return null_values(spark, sf_dir)
+
+
+@query("permutation_continuation", with_pop("select rep, n1, y1, n0, y0, value from nulls", *swap_or_not_sql(CONTINUED)))
+def permutation_continuation(spark, sf_dir):
+    """The first replications of a later batch: appended to those before, not made from them."""
+    return null_values(spark, sf_dir, CONTINUED)
 
 
 @query(
     "null_order_statistic",
     with_pop(
-        "select probability, rank, threshold, replications, count(*) filter (where value < threshold) as below, count(*) filter (where value = threshold) as equal, count(*) filter (where value > threshold) as above from (select p::double as probability, ceil(1000 * p::double)::bigint as rank, 1000::bigint as replications, v as threshold from (select unnest([0.95, 0.99]) as p), (select value as v, row_number() over (order by value) as k from nulls) where k = ceil(1000 * p::double)), nulls group by all",
-        NULLS,
+        "select probability, rank, threshold, replications, count(*) filter (where value < threshold) as below, count(*) filter (where value = threshold) as equal, count(*) filter (where value > threshold) as above from "
+        "(select p::double as probability, ceil(count(*) * p::double)::bigint as rank, list(value order by value)[ceil(count(*) * p::double)::bigint] as threshold, count(*) as replications from nulls, (select unnest([0.95, 0.99]) as p) group by p), nulls group by all",
+        *NULLS,
     ),
 )
 def null_order_statistic(spark, sf_dir):
-    return resample.null_order_statistic(null_values(spark))
+    return resample.null_order_statistic(materialize(null_values(spark, sf_dir), "null"))
 
 
-@query("tail_fraction", with_pop("select count(*) filter (where value >= 0.9) as at_least_observed, count(*) as replications, count(*) filter (where value >= 0.9) / count(*)::double as tail_fraction from nulls", NULLS))
+@query("tail_fraction", with_pop("select count(*) filter (where value >= o) as at_least_observed, count(*) as replications, count(*) filter (where value >= o) / count(*)::double as tail_fraction from nulls, observed", *NULLS, OBSERVED))
 def tail_fraction(spark, sf_dir):
-    return resample.tail_fraction(null_values(spark), 0.9)
+    return resample.tail_fraction(null_values(spark, sf_dir), observed_effect(spark, sf_dir))
+
 
+#: The exact binomial ranks are arithmetic on two parameters; what they pick comes from the table.
+RANKS = resample.binomial_ranks(len(REPLICATIONS), 0.95)
 
-query("order_statistic_interval")(lambda spark, sf_dir: resample.order_statistic_interval(null_values(spark), 0.95))
+
+@query(
+    "order_statistic_interval",
+    with_pop(
+        f"select 0.95::double as probability, count(*) as replications, {RANKS['lower_rank']}::bigint as lower_rank, {RANKS['upper_rank']}::bigint as upper_rank, list(value order by value)[{RANKS['lower_rank']}] as lower_value, "
+        f"list(value order by value)[{RANKS['upper_rank']}] as upper_value, {str(RANKS['lower_clipped']).lower()} as lower_clipped, {str(RANKS['upper_clipped']).lower()} as upper_clipped from nulls",
+        *NULLS,
+    ),
+)
+def order_statistic_interval(spark, sf_dir):
+    return resample.order_statistic_interval(materialize(null_values(spark, sf_dir), "null"), 0.95)
 
 
-@query("diagnostic_actions", "select o::double as observed, 0.5::double as p95, 0.8::double as p99, case when o <= 0.5 then 'INFO' when o <= 0.8 then 'WARNING' else 'MATERIAL_CONCERN' end as evidence_status, case when o <= 0.5 then 'PASS' when o <= 0.8 then 'WARNING' else 'ROBUSTNESS_REQUIRED' end as required_action from (select unnest([0.1, 0.5, 0.6, 0.8, 0.9]) as o)")
+@query(
+    "diagnostic_actions",
+    with_pop(
+        "select feature, observed, p95, p99, case when observed <= p95 then 'INFO' when observed <= p99 then 'WARNING' else 'MATERIAL_CONCERN' end as evidence_status, case when observed <= p95 then 'PASS' when observed <= p99 then 'WARNING' else 'ROBUSTNESS_REQUIRED' end as required_action "
+        "from (select 'effect' as feature, o as observed, list(value order by value)[ceil(count(*) * 0.95)::bigint] as p95, list(value order by value)[ceil(count(*) * 0.99)::bigint] as p99 from nulls, observed group by o)",
+        *NULLS,
+        OBSERVED,
+    ),
+)
 def diagnostic_actions(spark, sf_dir):
-    df = spark.createDataFrame([(0.1,), (0.5,), (0.6,), (0.8,), (0.9,)], "observed double").withColumn("p95", F.lit(0.5)).withColumn("p99", F.lit(0.8))
+    """The action for the observed effect by thresholds from its permuted replications."""
+    found = {r["probability"]: r["threshold"] for r in resample.null_order_statistic(materialize(null_values(spark, sf_dir), "null")).collect()}  # two rows
+    df = spark.range(1).select(F.lit("effect").alias("feature"), F.lit(observed_effect(spark, sf_dir)).alias("observed"), F.lit(found[0.95]).alias("p95"), F.lit(found[0.99]).alias("p99"))
     return resample.diagnostic_actions(df)
 
 
