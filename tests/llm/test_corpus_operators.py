@@ -1,5 +1,6 @@
 """Operators over whole corpora against brute force, with ties, repeats, nulls and empty tables."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -457,6 +458,30 @@ def test_mixing_edges(spark):
     assert out.columns == SCHEMA.names and out.count() <= 4
 
 
+def test_rows_without_an_id_are_drawn_apart(spark):
+    """Copies of rows with null ids follow their rates, as those of rows with ids do."""
+    r = random.Random(4)
+    good, bad = [f"w{k}" for k in range(60)], [f"v{k}" for k in range(60)]
+    texts = [" ".join(r.choice(bad if k % 3 == 0 else good) for _ in range(30)) for k in range(900)]
+    docs = spark.createDataFrame([(k if k % 2 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0 if k % 3 == 0 else 1, 0) for k in range(1, 400, 2)], "doc_id long, quality int, toxic int")
+    rated = mixing.mix(docs, labels, {"clean": 0.5, "low": 0.5}, most_rate=4.0).where("doc_id is null").collect()
+    assert len(rated) == 450
+    expected, copies = sum(x.rate for x in rated), sum(x.copies for x in rated)
+    spread = sum((x.rate % 1) * (1 - x.rate % 1) for x in rated) ** 0.5
+    assert spread > 3 and abs(copies - expected) < 3 * spread + 1
+
+
+def test_posteriors_equal_a_plain_computation(spark):
+    """Scores are sums over a text's words of smoothed log ratios; posteriors are their calibrated softmax."""
+    temperature, offsets = 0.4, [0.3, -0.1, -0.2]
+    scored = spark.createDataFrame([(1.0, -2.0, 0.5), (100.0, 0.0, -100.0), (0.0, 0.0, 0.0)], "s0 double, s1 double, s2 double")
+    for row, s in zip(scored.select(*mixing.posterior_columns(temperature, offsets)).collect(), scored.collect(), strict=True):
+        x = [o + temperature * max(-60.0, min(60.0, v)) for o, v in zip(offsets, s, strict=True)]
+        whole = sum(math.exp(v) for v in x)
+        assert list(row) == pytest.approx([math.exp(v) / whole for v in x])
+
+
 def test_word_hashes():
     words = re.findall(rb"[a-z\x80-\xff]+|[#$%&*|<>!]", "Ab  ab#AB!! x9y é-é".encode().lower())
     hashes, symbols = ngrams.word_hashes("Ab  ab#AB!! x9y é-é".encode())

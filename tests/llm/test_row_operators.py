@@ -10,7 +10,7 @@ import re
 import pytest
 from pyspark.sql import types as T
 
-from upliftforge.llm import entry, pii, secrets
+from upliftforge.llm import entry, pii, secrets, token_counts
 from upliftforge.llm.common import store_dir, tokenizer_path
 from upliftforge.llm.pieces import PrefixTableCodec, encode_documents
 from upliftforge.llm.token_counts import count_tokens, folds
@@ -246,3 +246,36 @@ def test_token_count_query_is_alike_cold_and_warm(spark):
     stored = spark.read.parquet(folder).count()
     assert sorted(entry.op3_token_counts(spark, "/root/testdata/sf0.001").collect()) == cold
     assert spark.read.parquet(folder).count() == stored > 0
+
+
+def test_special_strings_come_from_the_file(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path("word_bpe_49k.json")) as file:
+        spec = json.load(file)
+    assert token_counts.folds(spec)
+    spec["added_tokens"].append({"id": 49408, "content": "[SEP]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    spec["model"]["vocab"]["[SEP]"] = 49408
+    assert not token_counts.folds(spec)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    texts = ["hello [SEP] World", "hello [sep] world", "HELLO  world", "<|endoftext|> a [SEP]b"]
+    library = Tokenizer.from_file(str(path))
+    want = [len(library.encode(t, add_special_tokens=False)) for t in texts]
+    found = count_tokens(frame(spark, texts), str(path), f"file://{tmp_path}/cache").orderBy("doc_id").collect()
+    assert [r.n_tokens for r in found] == want
+
+
+def test_cache_stays_in_few_batches(spark, tmp_path):
+    cache, tokenizer = f"file://{tmp_path}/cache", tokenizer_path("word_bpe_49k.json")
+    for k in range(4):
+        count_tokens(frame(spark, [f"text number {k}", "in every run"]), tokenizer, cache)
+    count_tokens(frame(spark, ["in every run"]), tokenizer, cache)  # nothing new, no batch
+    os.makedirs(f"{tmp_path}/cache/.writing-broken")
+    assert len([p for p in os.listdir(f"{tmp_path}/cache") if p.startswith("batch-")]) == 4
+    token_counts.compact(spark, cache, most=2)  # none is settled
+    assert len([p for p in os.listdir(f"{tmp_path}/cache") if p.startswith("batch-")]) == 4
+    token_counts.compact(spark, cache, most=2, settled=-1)
+    assert [p[:6] for p in os.listdir(f"{tmp_path}/cache")] == ["batch-"]
+    assert spark.read.parquet(f"{cache}/batch-*").count() == 5
+    assert [r.n_tokens for r in count_tokens(frame(spark, ["in every run"]), tokenizer, cache).collect()] == [3]

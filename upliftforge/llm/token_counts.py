@@ -13,7 +13,7 @@ have counted is there twice with the same count.
 
 The normal form keeps the count: for tokenizers that drop white space between words and lower-case letters
 (this is read from the file), runs of ASCII white space become one space and A-Z become a-z.  Texts that
-hold ``<|``, with which the strings of special tokens begin, or a combining mark, which may compose
+hold ``<|``, which all strings of special tokens must hold for that, or a combining mark, which may compose
 with the letter before it, are their own form, and so is every text for other tokenizers.
 
 Null texts count as empty (0 tokens).  Repeated rows give repeated results, extra columns are
@@ -26,8 +26,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 import uuid
 from collections.abc import Iterator
+from importlib import metadata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +45,16 @@ MEMO_WORDS = 500_000
 MEMO_CHARS = 48
 
 
+def specials(spec: dict) -> list[str]:
+    """Strings that the tokenizer takes out of a text before anything else."""
+    return [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+
+
 def folds(spec: dict) -> bool:
-    """Whether a tokenizer lower-cases letters and takes white space for a mere separator."""
+    """Whether a tokenizer lower-cases letters and takes white space for a mere separator, and all its special strings
+    hold the mark by which texts with them are told."""
+    if any(SPECIAL not in s for s in specials(spec)):
+        return False
     steps = (spec.get("normalizer") or {}).get("normalizers") or []
     spaces = any(s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in steps)
     first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -133,6 +143,25 @@ def stored_counts(spark: SparkSession, cache_path: str, version: str) -> DataFra
     return spark.read.schema(CACHE_SCHEMA).parquet(batches).where(F.col("version") == version).select("digest", "n_tokens")
 
 
+#: Settled batches beyond this are written as one; one is settled when no run that began before it can still be reading.
+MOST_BATCHES, SETTLED_SECONDS = 16, 86_400
+
+
+def compact(spark: SparkSession, cache_path: str, most: int = MOST_BATCHES, settled: float = SETTLED_SECONDS) -> None:
+    """Write the settled batches as one if there are over ``most``, and remove hidden folders of runs that broke off as long
+    ago.  The one is whole before the others go, so readers find each digest, some of them twice."""
+    pattern, fs = _file_system(spark, f"{cache_path}/batch-*")
+    before = (time.time() - settled) * 1000
+    old = lambda found: [str(f.getPath()) for f in found or () if f.getModificationTime() <= before]
+    batches, left = old(fs.globStatus(pattern)), old(fs.globStatus(_file_system(spark, f"{cache_path}/.writing-*")[0]))
+    if len(batches) > most:
+        stored = spark.read.schema(CACHE_SCHEMA).parquet(*batches)
+        append_counts(stored.groupBy("version", "digest").agg(F.max("n_tokens").alias("n_tokens")), cache_path)
+        left += batches
+    for path in left:
+        fs.delete(_file_system(spark, path)[0], True)
+
+
 def append_counts(counts: DataFrame, cache_path: str) -> DataFrame:
     """Add a batch to the cache: written under a hidden name, then renamed."""
     spark, name = counts.sparkSession, uuid.uuid4().hex
@@ -152,9 +181,10 @@ def count_tokens(
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as file:  # a fixed file of the installation, under two megabytes
         blob = file.read()
-    version = hashlib.sha256(blob + NORMAL_FORM.encode()).hexdigest()
+    version = hashlib.sha256(blob + f"{NORMAL_FORM} {metadata.version('tokenizers')}".encode()).hexdigest()
     shared = spark.sparkContext.broadcast(blob)
     bound_batches(spark)
+    compact(spark, cache_path)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     form = normal_form(F.col("text")) if folds(json.loads(blob)) else F.col("text")
@@ -192,7 +222,10 @@ def count_tokens(
         texts = rows.join(F.broadcast(skipped), same, "left_anti").select(digest, form.alias("form"))
     else:
         texts = (rows.join(F.broadcast(misses) if taken <= most_bytes else misses, same)).select("digest", form.alias("form"))
-    fresh = append_counts(texts.mapInArrow(encode, CACHE_SCHEMA), cache_path)
+    if taken:  # else nothing is missing, and no batch is added
+        fresh = append_counts(texts.mapInArrow(encode, CACHE_SCHEMA), cache_path)
+    else:
+        fresh = spark.createDataFrame([], CACHE_SCHEMA)
 
     # Rows that repeat were encoded as often.  Written before it is joined, so that a text with very
     # many copies can be split.
