@@ -6,6 +6,7 @@ import json
 import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -94,6 +95,77 @@ def test_key_after_an_equals_sign():
         assert dict(secrets.scan(f"KEY={base64.b64encode(key[:-1]).decode()}"))["key_b64"] == []
 
 
+def der(tag, content):
+    width = (len(content).bit_length() + 7) // 8
+    size = bytes([len(content)]) if len(content) < 128 else bytes([0x80 + width]) + len(content).to_bytes(width, "big")
+    return bytes([tag]) + size + content
+
+
+def dsa_key(x=12345, version=0, p=(1 << 1023) + 1155, q=(1 << 159) + 7):
+    return der(0x30, b"".join(der(2, v.to_bytes(v.bit_length() // 8 + 1, "big")) for v in (version, p, q, 2, p - 2, x)))
+
+
+def ssh_key(blob=b"priv" * 40):
+    return b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"pub" * 8, blob))
+
+
+def in_lines(body, width, gap="\n"):
+    return gap.join(body[k : k + width] for k in range(0, len(body), width))
+
+
+def confirmed(text):
+    return {k: s for k, s in secrets.scan(text)[3:] if s}
+
+
+def test_dsa_keys_and_hex_containers():
+    b64 = lambda data: base64.b64encode(data).decode()
+    mark = "-----BEGIN DSA PRIVATE KEY-----\n{}\n-----END DSA PRIVATE KEY-----"
+    assert set(confirmed(mark.format(in_lines(b64(dsa_key()), 64)))) == {"pem"}
+    assert confirmed("k " + b64(dsa_key())) == {"key_b64": [(2, 2 + len(b64(dsa_key())))]}
+    for wrong in (dsa_key(x=(1 << 159) + 8), dsa_key(version=1), dsa_key(q=97), dsa_key(p=(1 << 200) + 9), dsa_key(x=0), dsa_key()[:-1]):
+        assert not confirmed(b64(wrong)) and not confirmed(mark.format(b64(wrong)))
+    for key in (ssh_key().hex(), ssh_key().hex().upper()):
+        assert confirmed(f"x {key} y") == {"key_hex": [(2, 2 + len(key))]}
+        assert not confirmed(key[:-2]) and not confirmed(key + "00")
+
+
+def test_keys_in_lines():
+    for key in (dsa_key(), ssh_key(), ssh_key(b"p" * (3 * 64 - 75))):
+        body = base64.b64encode(key).decode()
+        for width in (64, 76, 48):
+            for gap in ("\n", "\r\n", "\n    ", "\\n"):
+                wrapped = in_lines(body, width, gap)
+                for before, after in (("", ""), ("key: ", "\n\nnext"), ("Mississippi and Massachusetts\nMmmmmmmmmmmmmmmmmmmm\n", " y")):
+                    assert confirmed(before + wrapped + after) == {"key_b64": [(len(before), len(before + wrapped))]}
+                assert not confirmed(in_lines(base64.b64encode(key[:-1]).decode(), width, gap))
+        if not body.endswith("="):
+            assert len(body) % 64 or confirmed(in_lines(body, 64) + "\nword")
+    full = ssh_key(b"p" * next(n for n in range(60, 400) if len(ssh_key(b"p" * n)) % 48 == 0))
+    text = in_lines(base64.b64encode(full).decode(), 64)
+    assert confirmed(text + "\nword more") == {"key_b64": [(0, len(text))]}  # a word below a full line is no part of it
+    uneven = base64.b64encode(full).decode()
+    assert not confirmed(uneven[:64] + "\n" + uneven[64:100] + "\n" + uneven[100:])
+
+
+def test_keys_in_encoded_text():
+    pem = f"-----BEGIN PRIVATE KEY-----\n{RSA}\n-----END PRIVATE KEY-----\n"
+    for inner in (pem, "# a comment\n" + pem, base64.b64encode(dsa_key()).decode(), base64.b64encode(ssh_key()).decode() + "\n"):
+        body = base64.b64encode(inner.encode()).decode()
+        found = {} if inner.startswith("#") else {"nested_key": [(5, 5 + len(body))]}  # only text that starts with a key is proposed
+        assert confirmed("tls: " + body + " x") == found
+        wrapped = in_lines(body, 40)
+        assert confirmed("tls: " + wrapped) == ({"nested_key": [(5, 5 + len(wrapped))]} if found else {})
+    for wrong in (pem.replace("PRIVATE", "PUBLIC"), pem.replace(RSA, RSA[:-4]), base64.b64encode(dsa_key()[:-1]).decode(), pem.encode().hex()):
+        assert not confirmed(base64.b64encode(wrong.encode()).decode())
+
+
+def test_scans_of_long_lines_are_linear():
+    begun = time.monotonic()
+    for text in ("M" * 2_000_000, ("M" * 20 + "\n") * 100_000, ("TUlM" * 16 + "\n") * 30_000, "LS0tLS1CRUdJTi" * 100_000, ("M" * 30 + "\\n") * 50_000 + "é"):
+        assert not confirmed(text)
+    assert time.monotonic() - begun < 20
+
+
 def brute_pii(text):
     text = text or ""
     luhn = lambda d: sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
