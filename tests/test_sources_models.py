@@ -1,12 +1,15 @@
 """Ingest, run artifacts, streaming, and fitted models."""
 
+import hashlib
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import audit_frame
 from upliftforge.operators import learners
 from upliftforge.roles import FEATURES, LABELS, OUTCOME, ROW_ID, TREATMENT, ContractError
-from upliftforge.sources import ingest
+from upliftforge.sources import digests, files, ingest
 from upliftforge.sources.runs import Run, Store, check_language, promote
 from upliftforge.streaming import counts
 
@@ -41,11 +44,85 @@ def test_convert_and_validate(spark, base):
         ingest.to_pandas(ingest.scan(spark, f"{base}/p", ["f0"]), ["f0"], 29)
 
 
-def test_digest_ignores_order_and_sees_values(spark):
+def plain_digest(rows, columns, types, leaf_rows, fan_out):
+    """The digests of a table held in memory; a row is a dict."""
+    sha, found = lambda t: hashlib.sha256(t.encode()).hexdigest(), {}
+    for c, kind in zip(columns, types, strict=True):
+        leaves = {}
+        for r in sorted(rows, key=lambda r: r[ROW_ID]):
+            v = r[c]
+            bits = lambda v: str(struct.unpack(">q", struct.pack(">d", v))[0])
+            text = "-" if v is None else bits(v) if kind == "double" else sha(v) if kind == "string" else str(v)
+            leaves.setdefault(r[ROW_ID] // leaf_rows, []).append(text)
+        level, height = {k: sha("\n".join(v)) for k, v in leaves.items()}, 0
+        while height < 2 or len(level) > 1 or max(level) > 0:
+            up = {}
+            for k in sorted(level):
+                up.setdefault(k // fan_out, []).append(f"{k}:{level[k]}")
+            level, height = {k: sha("\n".join(v)) for k, v in up.items()}, height + 1
+        found[c] = (len(rows), sum(r[c] is not None for r in rows), sha(f"{c}\n{kind}\n{level[0]}"))
+    return found
+
+
+def test_digest_matches_a_plain_tree(spark):
+    df = audit_frame(spark, 300).withColumn("note", F.when(F.col(ROW_ID) % 3 > 0, F.concat(F.lit("ü-\n"), F.col(ROW_ID))))
+    df = df.withColumn("f3", F.when(F.col(ROW_ID) % 5 > 0, F.col("f3") / 7)).where(F.col(ROW_ID) % 50 != 7)
+    rows = [r.asDict() for r in df.collect()]
+    for leaf_rows, fan_out in ((4, 3), (16, 2), (4096, 256)):
+        found = {r.column_name: (r.rows, r.non_missing, r.sha256) for r in digests.semantic_digest(df.repartition(5), leaf_rows=leaf_rows, fan_out=fan_out).collect()}
+        assert found == plain_digest(rows, df.columns, [t for _, t in df.dtypes], leaf_rows, fan_out)
+
+
+def test_digest_ignores_batches_and_sees_values(spark):
     df = audit_frame(spark, 50)
-    one = sorted(map(tuple, ingest.semantic_digest(df).collect()))
-    assert one == sorted(map(tuple, ingest.semantic_digest(df.repartition(7)).collect()))
-    assert one != sorted(map(tuple, ingest.semantic_digest(df.withColumn("f0", F.col("f0") + 1e-9)).collect()))
+    values = lambda df: sorted(map(tuple, ingest.semantic_digest(df).collect()))
+    one = values(df)
+    assert one == values(df.repartition(7))
+    assert one != values(df.withColumn("f0", F.col("f0") + 1e-9))
+    assert one != values(df.withColumnRenamed("f0", "g0")) and one != values(df.withColumn("treatment", F.col("treatment").cast("int")))
+    empty = ingest.semantic_digest(df.where("false")).collect()
+    assert len(empty) == len(df.columns) and all((r.rows, r.non_missing) == (0, 0) for r in empty)
+    for bad in (df.withColumn(ROW_ID, F.lit(None).cast("long")), df.withColumn(ROW_ID, F.col(ROW_ID) - 1)):
+        with pytest.raises(ContractError):
+            ingest.semantic_digest(bad)
+    with pytest.raises(ContractError):
+        digests.merkle_tree(df.withColumn(ROW_ID, F.lit(3).cast("long")), leaf_rows=16)
+
+
+def test_swapped_values_are_found_and_located(spark):
+    df = audit_frame(spark, 400).withColumn("f0", F.col(ROW_ID).cast("double"))
+    other = F.when(F.col(ROW_ID) == 201, 330).when(F.col(ROW_ID) == 330, 201).otherwise(F.col(ROW_ID)).cast("double")
+    swapped = df.withColumn("f0", other).withColumn("f1", F.when(F.col(ROW_ID) != 399, F.col("f1")))
+    trees = [digests.merkle_tree(d.repartition(3), leaf_rows=8, fan_out=4) for d in (df, swapped, df.where(F.col(ROW_ID) < 100))]
+    found = {r.column_name: (r.first_row, r.last_row) for r in digests.first_difference(trees[0], trees[1], 8, 4).collect()}
+    assert found == {"f0": (200, 207), "f1": (392, 399)}
+    assert digests.first_difference(trees[0], trees[0], 8, 4).count() == 0
+    shorter = digests.first_difference(trees[0], trees[2], 8, 4).collect()
+    assert {(r.first_row, r.last_row) for r in shorter} == {(96, 103)} and len(shorter) == len(df.columns)
+
+
+def test_files_of_any_size_are_hashed(spark, tmp_path):
+    (tmp_path / "in a folder").mkdir()
+    big, small, empty = tmp_path / "in a folder" / "3 GB.bin", tmp_path / "small.bin", tmp_path / "empty.bin"
+    small.write_bytes(b"y")
+    empty.write_bytes(b"")  # scans do not list it
+    with open(big, "wb") as out:
+        out.truncate(3 << 30)
+        out.seek(1 << 31)
+        out.write(b"x")
+    sha, zeros = hashlib.sha256(), bytes(1 << 20)
+    for k in range(3 << 10):
+        sha.update(b"x" + zeros[1:] if k == 2048 else zeros)
+    df = files.file_digests(spark, f"file://{tmp_path}")
+    assert {(r.path, r.bytes, r.sha256) for r in df.collect()} == {(str(big), 3 << 30, sha.hexdigest()), (str(small), 1, hashlib.sha256(b"y").hexdigest())}
+    assert "ReadSchema: struct<path:string,length:bigint>" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_other_systems_come_as_values(spark, base, monkeypatch):
+    audit_frame(spark, 40).coalesce(2).write.parquet(f"{base}/p")
+    streamed = [sorted(map(tuple, f(spark, f"{base}/p").collect())) for f in (files.file_digests, files.row_groups)]
+    monkeypatch.setattr(files, "is_readable", lambda path: False)
+    assert streamed == [sorted(map(tuple, f(spark, f"{base}/p").collect())) for f in (files.file_digests, files.row_groups)]
 
 
 def test_safe_cast(spark, tmp_path):
@@ -83,7 +160,8 @@ def test_open_processed_checks_digest(spark, base):
 def test_layout_of_row_groups(spark, base):
     df = audit_frame(spark, 40).coalesce(1)
     ingest.write_parquet(df, f"{base}/z")
-    assert [x[1:] for x in ingest.layout(spark, f"{base}/z")] == [(40, "ZSTD")]
+    assert [tuple(x)[1:] for x in files.row_groups(spark, f"{base}/z").collect()] == [(0, 40, "ZSTD")]
+    assert [tuple(x) for x in files.layout_summary(spark, f"{base}/z").collect()] == [("ZSTD", 1, 1, 40, 40)]
     ingest.require_layout(spark, f"{base}/z")
     with pytest.raises(ContractError):
         ingest.require_layout(spark, f"{base}/z", most_rows=39)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import balance, forest, gates, joins, learners, meta, profile, ranking, resample, split
 from ..roles import FEATURES, LABELS, OUTCOME, QUANTILES, ROW_ID, TREATMENT
-from ..sources import ingest
+from ..sources import digests, files, ingest
 from ..sources.population import POPULATION_SQL, population
 from ..streaming import counts
 from .store import materialize, new_folder
@@ -1060,7 +1060,51 @@ def describe_columns(spark, sf_dir):
     return ingest.describe_columns(population(spark, sf_dir))
 
 
-query("semantic_digest")(lambda spark, sf_dir: ingest.semantic_digest(population(spark, sf_dir)))
+#: Cells, leaves of 4,096 ids and two levels of up to 256 children above them: the tree of some 268 million ids.
+TREE_SQL = (
+    "cells as ("
+    + " union all ".join(
+        f"select _source_row_id as id, '{c}' as column_name, '{'double' if c in FEATURES else 'bigint'}' as type, {c} is not null as there, coalesce({'cast(cast(' + c + ' as bit) as bigint)' if c in FEATURES else c}::varchar, '-') as cell from pop"
+        for c in (ROW_ID, *FEATURES, *LABELS)
+    )
+    + """), leaves as (
+  select column_name, type, id // 4096 as node, count(*) as n, count(*) filter (there) as k, sha256(string_agg(cell, chr(10) order by id)) as digest from cells group by all
+), middle as (
+  select column_name, type, node // 256 as node, sum(n) as n, sum(k) as k, sha256(string_agg(node || ':' || digest, chr(10) order by node)) as digest from leaves group by column_name, type, node // 256
+), top as (
+  select column_name, type, sum(n) as n, sum(k) as k, sha256(string_agg(node || ':' || digest, chr(10) order by node)) as digest from middle group by column_name, type
+)"""
+)
+
+
+@query("semantic_digest", with_pop("select column_name, n::bigint as rows, k::bigint as non_missing, sha256(column_name || chr(10) || type || chr(10) || digest) as sha256 from top", TREE_SQL))
+def semantic_digest(spark, sf_dir):
+    return ingest.semantic_digest(population(spark, sf_dir))
+
+
+@query(
+    "first_difference",
+    with_pop(
+        """select column_name, min(id) // 256 * 256 as first_row, min(id) // 256 * 256 + 255 as last_row from (
+  select 'f0' as column_name, a._source_row_id as id from pop a join pop b on b._source_row_id = case a._source_row_id when 700 then 1400 when 1400 then 700 else a._source_row_id end where a.f0 is distinct from b.f0
+  union all select 'f4', _source_row_id from pop where _source_row_id % 1000 = 900 and f4 is not null) group by column_name"""
+    ),
+)
+def first_difference(spark, sf_dir):
+    """The table against itself with two values of one column exchanged and some of another taken away."""
+    before = materialize(population(spark, sf_dir), "before")
+    far = F.broadcast(before.where(F.col(ROW_ID).isin(700, 1400)).select((F.lit(2100) - F.col(ROW_ID)).alias(ROW_ID), F.struct("f0").alias("other")))  # two rows
+    after = before.join(far, ROW_ID, "left").withColumn("f0", F.when(F.col("other").isNotNull(), F.col("other.f0")).otherwise(F.col("f0")))
+    after = after.withColumn("f4", F.when(F.col(ROW_ID) % 1000 != 900, F.col("f4"))).select(*before.columns)
+    trees = [digests.merkle_tree(df, leaf_rows=256, fan_out=16) for df in (before, after)]
+    return digests.first_difference(*trees, leaf_rows=256, fan_out=16)
+
+
+@query("row_group_layout", with_pop("select 'ZSTD' as codec, count(*) as rows, true as within_limit from pop"))
+def row_group_layout(spark, sf_dir):
+    path = new_folder(spark, "processed")
+    ingest.write_parquet(population(spark, sf_dir).select(*FEATURES, *LABELS, ROW_ID), path)
+    return files.layout_summary(spark, path).select("codec", "rows", (F.col("most_rows") <= ingest.ROW_GROUP).alias("within_limit"))
 
 
 @query("streaming_joint_counts", with_pop("select treatment, conversion, count(*) as n from pop group by all"))

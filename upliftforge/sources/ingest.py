@@ -16,7 +16,9 @@ from ..operators import gates
 from ..plans.prefix import prefix_sums
 from ..plans.store import materialize
 from ..roles import FEATURES, LABELS, PROCESSED_SCHEMA, RAW_SCHEMA, ROW_ID, ContractError
-from .runs import Store, file_digests, table_digest
+from .digests import semantic_digest
+from .files import row_groups
+from .runs import Store, table_digest
 
 ROW_GROUP = 1_048_576
 
@@ -132,37 +134,11 @@ def cached_parquet(spark: SparkSession, source: str, destination: str) -> dict:
     return {"rows": convert_csv(spark, source, destination)["rows"], "reused": False}
 
 
-def layout(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
-    """File, rows and codec of every row group, from the footers (a few numbers for each file)."""
-    sc = spark.sparkContext
-    hadoop, parquet, conf = sc._jvm.org.apache.hadoop.fs, sc._jvm.org.apache.parquet.hadoop, sc._jsc.hadoopConfiguration()
-    found = []
-    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.parquet").load(path)
-    for r in files.select("path").orderBy("path").toLocalIterator():
-        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(hadoop.Path(r["path"]), conf))
-        try:
-            for block in reader.getFooter().getBlocks():
-                codecs = {str(c.getCodec()) for c in block.getColumns()}
-                found.append((r["path"], int(block.getRowCount()), ",".join(sorted(codecs))))
-        finally:
-            reader.close()
-    return found
-
-
 def require_layout(spark: SparkSession, path: str, codec: str = "ZSTD", most_rows: int = ROW_GROUP) -> None:
-    wrong = [x for x in layout(spark, path) if x[1] > most_rows or x[2] != codec]
+    """Every row group has that codec and no more rows; footers are read by tasks."""
+    wrong = row_groups(spark, path).where((F.col("rows") > most_rows) | ~F.col("codec").eqNullSafe(codec)).limit(3).collect()
     if wrong:
-        raise ContractError(f"row groups of another size or codec: {wrong[:3]}")
-
-
-def semantic_digest(df: DataFrame, key: str = ROW_ID) -> DataFrame:
-    """One row for each column: non-missing values, and the exclusive-or and a folded sum of hashes of
-    key and value.  It depends on neither the order nor the batches of the rows."""
-    columns = [c for c in df.columns if c != key]
-    parts = {c: F.xxhash64(F.col(key), F.col(c)) for c in columns}
-    wide = df.agg(*[e for c, h in parts.items() for e in (F.count(c).alias(f"n_{c}"), F.bit_xor(h).alias(f"x_{c}"), F.sum(F.pmod(h, F.lit(1_000_003))).alias(f"s_{c}"))])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("non_missing"), F.col(f"x_{c}").alias("xor_hash"), F.col(f"s_{c}").alias("sum_hash")) for c in columns])
-    return wide.select(F.explode(rows).alias("_d")).select("_d.*")
+        raise ContractError(f"row groups of another size or codec: {[tuple(r) for r in wrong]}")
 
 
 def validate_processed(spark: SparkSession, path: str, expected_rows: int | None = None, expected_digest: Sequence | None = None) -> dict:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..roles import PROHIBITED_LABELS, ContractError
+from .files import file_digests
 
 MANIFEST = "manifest.json"
 KINDS = ("audit", "tables", "models", "predictions", "figures")
@@ -71,13 +72,6 @@ def check_language(text: str) -> None:
         raise ContractError(f"labels that are not used: {used}")
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of every file below a path, computed where the files are read (a file is one row,
-    so it must be below 2 GB)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def table_digest(spark: SparkSession, path: str, buckets: int = 1024) -> str:
     """One SHA-256 of the names and digests of all Parquet files of a table: a file that is changed, added or
     taken away changes it.  Names are hashed into buckets, so that no row lists more than a share of them."""
