@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from upliftforge.functions.scalar import missing_to_null
-from upliftforge.operators import balance, gates, joins, meta, profile, ranking, resample, split
+from upliftforge.operators import balance, gates, joins, meta, profile, ranking, resample, sketches, split
 from upliftforge.plans.prefix import exact_quantiles, prefix_sums
 from upliftforge.roles import FEATURES, LABELS, OUTCOME, ROW_ID, TREATMENT, ContractError, HeldOutAccessError, assert_feature_contract
 
@@ -320,3 +320,28 @@ def test_exact_quantiles_match_percentile(spark):
     whole = df.agg(F.percentile("value", F.array(*[F.lit(x) for x in p])).alias("q")).first().q
     assert exact_quantiles(df, p).first().q == pytest.approx(whole)
     assert exact_quantiles(df.where("value > 1000"), p).count() == 0
+
+
+def test_sketches_merge_without_rows(spark):
+    df = spark.range(40_000).select((F.col("id") % 7).alias("part"), *[F.when(F.col("id") % 11 > 0, (F.col("id") * (k + 3)) % (500 * (k + 1))).cast("double").alias(f) for k, f in enumerate(FEATURES[:3])])
+    df = df.withColumn(FEATURES[3], F.lit(None).cast("double"))
+    names = FEATURES[:4]
+    early, late = (sketches.sketch_features(df.where(c), ("part",), names) for c in ("part < 3", "part >= 3"))
+    merged = sketches.merge_sketches(early.unionByName(late))
+    counts = {r.feature: r for r in sketches.sketched_distinct(merged).collect()}
+    for f in names:
+        values = sorted(r[0] for r in df.select(f).where(F.col(f).isNotNull()).collect())
+        assert (counts[f].n, counts[f].missing) == (40_000, 40_000 - len(values))
+        assert abs(counts[f].distinct - len(set(values))) <= sketches.DISTINCT_ERROR * len(set(values))
+        for r in sketches.sketched_quantiles(merged.where(F.col("feature") == f)).collect():
+            if not values:
+                assert r.value is None
+                continue
+            below, upto = (sum(v < r.value for v in values) / len(values), sum(v <= r.value for v in values) / len(values))
+            assert below <= r.probability + sketches.RANK_ERROR and upto >= r.probability - sketches.RANK_ERROR
+    by_part = sketches.merge_sketches(late, ("part",))
+    assert {r.part for r in by_part.collect()} == {3, 4, 5, 6}
+    assert sketches.sketched_distinct(sketches.merge_sketches(early.where("false"))).count() == 0
+    wrong = sketches.sketched_quantiles(merged.where(F.col("feature") == names[0])).withColumn("value", F.col("value") + 20)
+    full = df.select(*names, *[F.lit(None).cast("double").alias(f) for f in FEATURES[4:]])
+    assert not any(r.in_bounds for r in sketches.quantiles_in_bounds(full, wrong).where("probability < 0.9").collect())

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import balance, forest, gates, joins, learners, meta, profile, ranking, resample, split
+from ..operators import balance, forest, gates, joins, learners, meta, profile, ranking, resample, sketches, split
 from ..roles import FEATURES, LABELS, OUTCOME, QUANTILES, ROW_ID, TREATMENT
 from ..sources import digests, files, ingest
 from ..sources.population import POPULATION_SQL, population
@@ -321,6 +321,27 @@ def top_values(spark, sf_dir):
 query("approximate_quantiles")(lambda spark, sf_dir: profile.approximate_quantiles(population(spark, sf_dir)))
 query("approximate_distinct")(lambda spark, sf_dir: profile.approximate_distinct(population(spark, sf_dir)))
 
+
+def stored_sketches(spark, pop):
+    """Sketches by month, written; what follows reads these and no rows."""
+    return sketches.merge_sketches(materialize(sketches.sketch_features(pop, ("f10",)).withColumnRenamed("f10", "month"), "sketches"))
+
+
+@query("sketched_quantiles", with_pop(f"select feature, probability, true as in_bounds from (select distinct feature from long where value is not null), (values {', '.join(f'({p}::double)' for p in QUANTILES)}) as t(probability)", LONG))
+def sketched_quantiles(spark, sf_dir):
+    """Whether the quantiles of merged sketches keep their error bound in the table."""
+    pop = population(spark, sf_dir)
+    return sketches.quantiles_in_bounds(pop, sketches.sketched_quantiles(stored_sketches(spark, pop)))
+
+
+@query("sketched_distinct", with_pop("select feature, count(*) as n, count(*) - count(value) as missing, true as in_bounds from long group by feature", LONG))
+def sketched_distinct(spark, sf_dir):
+    """Whether the distinct counts of merged sketches keep theirs; rows and missing values are exact."""
+    pop = population(spark, sf_dir)
+    exact = profile.distinct_counts(pop).select("feature", F.col("distinct").alias("exact"))
+    found = sketches.sketched_distinct(stored_sketches(spark, pop)).join(F.broadcast(exact), "feature")  # a row for each feature
+    return found.select("feature", "n", "missing", (F.abs(F.col("distinct") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")).alias("in_bounds"))
+
 # Repeated profiles
 
 DEFINITIONS = {
