@@ -378,6 +378,32 @@ def test_gumbel_top_k_takes_the_largest_keys(spark):
     assert min(kept) >= max(rest)
 
 
+def test_importance_temperature_on_the_test_tables(spark):
+    """On whole texts the plain weights leave nothing to chance; a temperature does."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    drawn = lambda **more: {r.doc_id: r for r in importance.resample(docs, labels, share=0.5, **more).collect()}
+    plain = drawn()
+    kept = lambda rows: {i for i, r in rows.items() if r.kept}
+    logs = np.array([r.log_weight for r in plain.values() if r.n_words])
+    sizes = {r.temperature: r for r in importance.effective_sizes(importance.resample(docs, labels, share=0.5)).collect()}
+    for t, r in sizes.items():
+        w = np.exp((logs - logs.max()) / t)
+        assert r.documents == len(logs) and r.effective == pytest.approx(w.sum() ** 2 / (w * w).sum(), rel=1e-9)
+    assert sizes[1.0].effective < 0.1 * len(logs) < sizes[max(sizes)].effective
+    warm = next(t for t in sorted(sizes) if sizes[t].effective >= 0.3 * len(logs))
+    cut = {r.doc_id for r in sorted((r for r in plain.values() if r.n_words), key=lambda r: -r.log_weight)[: len(kept(plain))]}
+    one, two = drawn(temperature=warm), drawn(temperature=warm, seed=7)
+    assert len(kept(one)) == len(kept(two)) == len(kept(plain))
+    assert len(kept(one) - cut) >= 5 and len(kept(one) ^ kept(two)) >= 5
+    mean = lambda rows, want: np.mean([r.log_weight for r in rows.values() if r.n_words and r.kept == want])
+    assert mean(one, True) > mean(one, False)
+    for wrong in (0.0, -1.0, math.inf, math.nan):
+        with pytest.raises(ValueError, match="temperature"):
+            importance.resample(docs, labels, temperature=wrong)
+    none = importance.effective_sizes(importance.resample(docs.where("false"), labels), (1.0,)).first()
+    assert (none.documents, none.effective) == (0, None)
+
+
 def test_importance_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert importance.resample(frame(spark, []), empty).count() == 0

@@ -16,6 +16,10 @@ at the raw rate, so that a bucket of which the labels say nothing has ratio one.
 fitted on at most ``max_labelled`` labelled documents; the raw model, the weights and the draw cover all
 documents.  The k-th key is found by narrowing histograms of fixed size.
 
+Weights of whole texts are sums over all their words, so that few documents may carry nearly all weight;
+:func:`effective_sizes` tells how many.  With a ``temperature`` above one, documents are drawn in proportion to the
+weight's root of that order: the same order on average, with chance deciding among more documents.
+
 Texts without a word (null and empty ones too) have weight minus infinity and are rejected.  Rows that tie
 with the last key are kept; rows with the same id and text get the same result; extra columns are ignored
 by :func:`resample` and kept by :func:`keep_drawn`, whatever their names; an empty table gives an empty result.  Without
@@ -25,6 +29,7 @@ a labelled target document, every document with text is kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,8 @@ BINS = 1024
 SMALL_BIN = 5000
 PART_BYTES = 1 << 20
 
+TEMPERATURES = tuple(2.0**k for k in range(13))
+
 SPACE, LETTER, MARK = 0, 1, 2
 KIND = np.array([SPACE if chr(c) in " \t\n\x0b\x0c\r" else LETTER if c >= 0x80 or chr(c).isalnum() else MARK for c in range(256)], np.uint8)
 MIX, TAIL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -135,10 +142,29 @@ def importance_weights(rows: DataFrame, sample: DataFrame) -> DataFrame:
     return materialize(hashed.mapInArrow(_score_batches(shared), "doc_id long, th long, n_words long, log_weight double"), "weights")
 
 
-def gumbel_key(seed: Column) -> Column:
-    """Log weight with standard Gumbel noise, which is a function of the document and the seed."""
+def gumbel_key(seed: Column, temperature: float = 1.0) -> Column:
+    """Log weight by temperature, with standard Gumbel noise, which is a function of the document and the seed."""
     uniform = (F.pmod(F.xxhash64("doc_id", "th", seed), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
-    return F.col("log_weight") - F.ln(-F.ln(uniform))
+    weight = F.col("log_weight") if temperature == 1.0 else F.col("log_weight") / F.lit(float(temperature))
+    return weight - F.ln(-F.ln(uniform))
+
+
+def effective_sizes(weights: DataFrame, temperatures: Sequence[float] = TEMPERATURES) -> DataFrame:
+    """``temperature, documents, effective``: for each temperature the squared sum of the documents' weights over the
+    sum of their squares, which is the number of documents with words if all weigh the same and one if one outweighs
+    the rest.  ``weights`` is a result of :func:`resample` or :func:`importance_weights`; NULL without such documents."""
+    check_temperatures(temperatures)
+    known = weights.where("n_words > 0").select("log_weight")
+    top = F.lit(known.agg(F.max("log_weight")).first()[0]).cast("double")
+    sums = [F.sum(F.exp(times * (F.col("log_weight") - top) / F.lit(float(t)))).alias(f"s{times}_{k}") for k, t in enumerate(temperatures) for times in (1, 2)]
+    row = known.agg(F.count("*").alias("documents"), *sums)
+    each = [F.struct(F.lit(float(t)).alias("temperature"), "documents", (F.col(f"s1_{k}") * F.col(f"s1_{k}") / F.col(f"s2_{k}")).alias("effective")) for k, t in enumerate(temperatures)]
+    return row.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+
+
+def check_temperatures(temperatures: Sequence[float]) -> None:
+    if not all(math.isfinite(t) and t > 0 for t in temperatures):
+        raise ValueError("a temperature must be positive and finite")
 
 
 def kth_largest(rows: DataFrame, k: int, name: str = "key") -> float:
@@ -168,14 +194,16 @@ def good_share(sample: DataFrame) -> float:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, share: float | None = None, k: int | None = None, max_labelled: int = ngrams.MAX_LABELLED, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, labels: DataFrame, share: float | None = None, k: int | None = None, max_labelled: int = ngrams.MAX_LABELLED, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
+    temperature: float = 1.0,
+) -> DataFrame:
     """``doc_id, th, n_words, log_weight, sample_key, kept`` of every row; ``th`` is the text's hash.  ``k``
     documents are drawn, or ``share`` of those with words."""
+    check_temperatures([temperature])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = materialize(ngrams.labelled_sample(labels, target_kind(), max_labelled), "labelled")
     scored = importance_weights(rows, sample)
-    drawn = scored.withColumn("sample_key", gumbel_key(F.lit(seed)))
+    drawn = scored.withColumn("sample_key", gumbel_key(F.lit(seed), temperature))
     with_words = drawn.where("n_words > 0")
     targets, n = sample.where("kind = 0").count(), with_words.count()
     if k is None:
