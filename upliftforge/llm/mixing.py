@@ -8,7 +8,8 @@ these over its posterior, so each iteration is one aggregation over a table of a
 document and the driver sees one total for each domain.
 
 A document with rate r is emitted floor(r) times and once more with probability r - floor(r), by a
-hash of its id and text, so rows without an id are drawn apart.
+hash of its id and text, so rows without an id are drawn apart; the hash is salted, so that the draw does not
+depend on that of importance resampling, which hashes the same.
 
 Null and blank texts have no tokens and the posterior of a text without telling words.  Rows that agree in
 id and text get the same result; extra columns are ignored by :func:`mix` and kept by
@@ -193,7 +194,7 @@ def mix(
     fit = fit_rates(members, shares, most_rate, budget)
     if fit.error > MISS:
         warnings.warn(f"targets missed by {fit.error:.1%} of the total ({fit.reason}): wanted {fit.goal}, reached {fit.reached}", stacklevel=2)
-    uniform = F.pmod(F.xxhash64("doc_id", "th", F.lit(seed)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+    uniform = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id", "th", F.lit(seed)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
     rated = members.withColumn("rate", rate_column(fit.steps, most_rate, len(DOMAINS)))
     copies = (F.floor("rate") + F.when(uniform < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
     return rated.select("doc_id", "th", "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies.alias("copies"))
