@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tests.test_operators import audit_frame
 from upliftforge.operators import resample, split
@@ -41,6 +42,37 @@ def test_permutations_keep_blocks(spark):
     assert all(effects[r.rep][:2] == (r.n1, r.y1) for r in y)
 
 
+def test_deal_matches_plain_arithmetic():
+    rng, keys = np.random.default_rng(1), split.round_keys(42)
+    block = rng.integers(0, 9, 500)
+    n = np.array([1, 2, 50, 1000, 1 << 20, (1 << 31) - 1, 1 << 31, (1 << 40) + 7, 3])[block]
+    place = (rng.random(500) * n).astype(np.int64)
+    for rep in (0, 3, 1999):
+        want = []
+        for x, size, b in zip(place.tolist(), n.tolist(), block.tolist(), strict=True):
+            for a1, b1, a2, b2, a3, b3 in keys:
+                k, m, add = (rep * a1 + b1) % split.PRIME, 1 + (rep * a3 + b3) % split.PRIME % (split.PRIME - 1), ((rep * a2 + b2) % split.PRIME + b) % split.PRIME
+                y = ((k * split.PRIME + add) % size - x + size) % size
+                x = y if (max(x, y) % split.PRIME * m + add) % split.PRIME < 1 << 30 else x
+            want.append(x)
+        assert split.Deal(place, n, block, keys).places(rep).tolist() == want
+
+
+@pytest.mark.parametrize("outcome", ["conversion", "1 - conversion", "conversion * 7 + id % 3"])
+def test_only_unusual_outcomes_are_dealt(spark, monkeypatch, outcome):
+    df = audit_frame(spark, 300).withColumn("conversion", F.expr(outcome.replace("id", ROW_ID)).cast("long")).withColumn("_b", F.col(ROW_ID) % 3)
+    found = {r.rep: tuple(r)[1:5] for r in split.replicated_effects(df, range(2, 6), ["_b"]).collect()}
+    dealt = split.permuted(split.placed_in_blocks(df, ["_b"]), range(2, 6)).join(df.select(ROW_ID, "conversion"), ROW_ID)
+    t, y = F.col("t_perm").cast("long"), F.col("conversion")
+    want = dealt.groupBy("rep").agg(F.sum(t), F.sum(t * y), F.sum(1 - t), F.sum((1 - t) * y)).collect()
+    assert found == {r[0]: tuple(r)[1:] for r in want}
+    rows = []  # rows that tasks deal: at most those without the most frequent outcome
+    read, kept = DataFrame.repartition, df.groupBy("conversion").count().agg(F.sum("count") - F.max("count")).first()[0]
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: rows.append(self.count()) or read(self, *a))
+    split.replicated_effects(df, range(2), ["_b"]).collect()
+    assert rows[-1] == kept
+
+
 def test_parts_add_up(spark):
     assert [resample.part_levels(n) for n in (0, 1, 128, 129, 256, 257, 1 << 20)] == [0, 0, 0, 1, 1, 2, 13]
     counts, levels = resample.part_counts(spark, {0: 1000, 1: 5000}, 40)
