@@ -58,6 +58,15 @@ def test_deal_matches_plain_arithmetic():
         assert split.Deal(place, n, block, keys).places(rep).tolist() == want
 
 
+def test_sums_of_a_block_match_its_deal():
+    rng, keys, reps = np.random.default_rng(2), split.round_keys(42), range(5, 12)
+    for n, rows in ((1, 1), (2, 2), (1000, 700), (360_000, split.ROUND_CELLS + 3), (split.PRIME, 900), (split.PRIME - 1, 900)):
+        place = np.unique(np.concatenate([[0, n - 1], rng.integers(0, n, rows)]))
+        more, block, treated = rng.integers(-3, 9, len(place)), int(rng.integers(0, 1 << 40)), n * 17 // 20
+        want = [int(more[split.swap_or_not(place, np.full(len(place), n), np.full(len(place), block), r, keys) < treated].sum()) for r in reps]
+        assert split.sums_of_treated(place.astype(np.uint32), n, treated, block, more, reps, keys).tolist() == want
+
+
 @pytest.mark.parametrize("outcome", ["conversion", "1 - conversion", "conversion * 7 + id % 3"])
 def test_only_unusual_outcomes_are_dealt(spark, monkeypatch, outcome):
     df = audit_frame(spark, 300).withColumn("conversion", F.expr(outcome.replace("id", ROW_ID)).cast("long")).withColumn("_b", F.col(ROW_ID) % 3)
