@@ -1,13 +1,16 @@
 """Replicated permutations by a keyed bijection, and bootstrap picks by split multinomials."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from tests.test_operators import audit_frame
+from upliftforge.functions import digest
 from upliftforge.operators import resample, split
-from upliftforge.roles import ROW_ID, TREATMENT
+from upliftforge.roles import ROW_ID, TREATMENT, ContractError
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1024])
@@ -82,6 +85,27 @@ def test_only_unusual_outcomes_are_dealt(spark, monkeypatch, outcome):
     assert rows[-1] == kept
 
 
+def test_counted_bits_are_those_of_md5():
+    keys, counts = ["", "a|", "boot|42|7|1|333|", "split|42|499|0|15|65535|", "x" * 48], [3, 1200, 0, 9, 1000]
+    want = [int(hashlib.md5(f"{k}{j}".encode()).hexdigest()[:13], 16) for k, c in zip(keys, counts, strict=True) for j in range(1, c + 1)]
+    assert digest.counted_bits(keys, counts, 1).tolist() == want
+    assert digest.counted_bits(["k|"], [digest.AT_ONCE + 5])[-1] == int(hashlib.md5(f"k|{digest.AT_ONCE + 4}".encode()).hexdigest()[:13], 16)
+    for k, c in (("x" * 54, [11]), ("k", [20_000_000])):
+        with pytest.raises(ContractError):
+            digest.counted_bits([k], c)
+
+
+def test_tasks_send_counts_not_picks(spark, monkeypatch):
+    df = audit_frame(spark, 900).withColumn("score", F.col(ROW_ID) % 37)
+    sent, kept = [], resample.buckets_near_points
+    monkeypatch.setattr(resample, "COUNTED", 8)
+    monkeypatch.setattr(resample, "buckets_near_points", lambda counts, by: sent.append(counts.agg(F.count("*"), F.sum("_b_m")).first()) or kept(counts, by))
+    few = {r.draw: tuple(r) for r in resample.bootstrap_qini(df, 3).collect()}
+    assert len(sent) == 1 and sent[0][0] <= 3 * 8 and sent[0][1] == 3 * 900
+    monkeypatch.undo()
+    assert few == {r.draw: tuple(r) for r in resample.bootstrap_qini(df, 3).collect()}
+
+
 def test_parts_add_up(spark):
     assert [resample.part_levels(n) for n in (0, 1, 128, 129, 256, 257, 1 << 20)] == [0, 0, 0, 1, 1, 2, 13]
     counts, levels = resample.part_counts(spark, {0: 1000, 1: 5000}, 40)
