@@ -9,7 +9,8 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from tests.test_operators import audit_frame
 from upliftforge.functions import digest
-from upliftforge.operators import resample, split
+from upliftforge.functions.scalar import hash_uniform
+from upliftforge.operators import ranking, resample, split
 from upliftforge.roles import ROW_ID, TREATMENT, ContractError
 
 
@@ -131,3 +132,26 @@ def test_picks_are_multinomial(spark):
         drawn = len(mine) / (60 * size)  # a row is left out with chance (1 - 1/n)**n
         assert drawn == pytest.approx(1 - (1 - 1 / size) ** size, abs=0.02)
         assert sum(r.w**2 for r in mine) / (60 * size) == pytest.approx(2 - 1 / size, abs=0.1)
+
+
+def test_tailed_bits_are_those_of_md5():
+    tails, prefixes = ["", "|7", "|-5", *(f"|{k * 371}" for k in range(20_000)), "|" + "9" * 70], ["draw|42|7", "draw|42|12", "draw|42|199"]
+    for prefix, bits in zip(prefixes, digest.tailed_bits(prefixes, tails), strict=True):
+        assert bits[::97].tolist() == [int(hashlib.md5((prefix + t).encode()).hexdigest()[:13], 16) for t in tails[::97]]
+        assert int(bits[-1]) == int(hashlib.md5((prefix + tails[-1]).encode()).hexdigest()[:13], 16)
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 40])
+def test_random_rankings_are_counted_in_tasks(spark, monkeypatch, cells):
+    df = audit_frame(spark, 3000)
+    score = hash_uniform(F.lit("draw"), F.lit("42"), F.col("draw"), F.col(ROW_ID))
+    each = df.select(ROW_ID, TREATMENT, "conversion").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("score", score)
+    plain = {r.draw: tuple(r)[2:] for r in ranking.qini_summary(each, ["draw"]).collect()}
+
+    def refuse(*_):
+        raise AssertionError("rows were repeated for every draw")
+
+    monkeypatch.setattr(resample, "DRAW_CELLS", cells, raising=False)
+    monkeypatch.setattr(F, "explode", refuse)
+    found = {r.draw: tuple(r)[1:] for r in resample.random_reference(df, 12).collect()}
+    assert found.keys() == plain.keys() and all(found[d] == pytest.approx(plain[d], rel=1e-9) for d in plain)
